@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinetra.llm import langid
+from kinetra.llm import langid, minhash
 from kinetra.llm.common import keyed_mod, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,8 +22,14 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", F.coalesce(rest == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents at a similarity of 0.85 on five-word shingles."""
+    return minhash.near_duplicates(read_table(spark, sf_dir, "documents"), num=85, den=100)
+
+
 QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
+    "op3_minhash_near_dedup": op3_minhash_near_dedup,
 }
 
 ORACLES: dict[str, str] = {}

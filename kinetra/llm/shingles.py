@@ -14,7 +14,7 @@ from functools import lru_cache
 
 import numpy as np
 
-BLOCK = 1 << 21
+BLOCK = 1 << 18
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _U = np.uint64
 
@@ -53,13 +53,13 @@ def _is_space(raw: np.ndarray) -> np.ndarray:
     return (raw == 32) | ((raw >= 9) & (raw <= 13))
 
 
-def _hash_block(raw: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the words of one block, in order."""
+def _hash_block(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of one block, in order, and where they start."""
     space = _is_space(raw)
     edge = np.diff(np.concatenate(([1], space.view(np.int8), [1])))
     starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     if not len(starts):
-        return np.empty(0, np.uint64)
+        return np.empty(0, np.uint64), starts
     symbols, _ = _tables()
     up, down = _powers()
     if len(raw) > len(up) - 1:  # one word longer than a block: its powers are made here
@@ -71,7 +71,7 @@ def _hash_block(raw: np.ndarray) -> np.ndarray:
     total = np.zeros(len(raw) + 1, dtype=np.uint64)
     np.cumsum(symbols[raw] * up[: len(raw)], out=total[1:])
     words = (total[ends] - total[starts]) * down[starts]
-    return mix64(words + (ends - starts).astype(np.uint64) * _U(0x9E3779B97F4A7C15))
+    return mix64(words + (ends - starts).astype(np.uint64) * _U(0x9E3779B97F4A7C15)), starts
 
 
 def word_hashes(text: str | None) -> np.ndarray:
@@ -80,7 +80,7 @@ def word_hashes(text: str | None) -> np.ndarray:
         return np.empty(0, np.uint64)
     data = text.encode("utf-8", "surrogatepass").translate(_LOWER)
     if len(data) <= BLOCK:
-        return _hash_block(np.frombuffer(data, np.uint8))
+        return _hash_block(np.frombuffer(data, np.uint8))[0]
     raw, parts, at = np.frombuffer(data, np.uint8), [], 0
     while at < len(raw):
         end = min(len(raw), at + BLOCK)
@@ -90,7 +90,7 @@ def word_hashes(text: str | None) -> np.ndarray:
                 end += int(gaps[0])
                 break
             end = min(len(raw), end + 65536)
-        parts.append(_hash_block(raw[at:end]))
+        parts.append(_hash_block(raw[at:end])[0])
         at = end
     return np.concatenate(parts)
 
@@ -115,6 +115,40 @@ def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
     return np.unique(combine(word_hashes(text), width))
 
 
+def shingle_sets(texts: list[str | None], width: int = 5) -> list[np.ndarray]:
+    """``shingle_set`` of several texts; short ones are hashed together."""
+    out: list[np.ndarray] = [np.empty(0, np.uint64)] * len(texts)
+    data, index, bounds, size = [], [], [0], 0
+    for i, text in enumerate(texts):
+        raw = text.encode("utf-8", "surrogatepass") if text else b""
+        if len(raw) > BLOCK // 2:
+            out[i] = shingle_set(text, width)
+        elif raw:
+            data.append(raw)
+            index.append(i)
+            size += len(raw) + 1
+            bounds.append(size)
+        if data and (size > BLOCK // 2 or i == len(texts) - 1):
+            _together(data, index, bounds, width, out)
+            data, index, bounds, size = [], [], [0], 0
+    if data:
+        _together(data, index, bounds, width, out)
+    return out
+
+
+def _together(data: list[bytes], index: list[int], bounds: list[int], width: int, out: list[np.ndarray]) -> None:
+    words, starts = _hash_block(np.frombuffer(b" ".join(data).translate(_LOWER) + b" ", np.uint8))
+    cuts = np.searchsorted(starts, bounds)
+    runs = combine(words, width) if len(words) >= width else words[:0]
+    for k, i in enumerate(index):
+        a, b = int(cuts[k]), int(cuts[k + 1])
+        own = runs[a : b - width + 1] if b - a >= width else combine(words[a:b], width)
+        if len(own) > 1:
+            own = np.sort(own)
+            own = own[np.concatenate(([True], own[1:] != own[:-1]))]
+        out[i] = own
+
+
 def set_digest(shingles: np.ndarray) -> tuple[int, int]:
     """Order-free 128-bit digest of a set, as two signed 64-bit integers."""
     if not len(shingles):
