@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinetra.llm import langid, minhash
+from kinetra.llm import langid, minhash, toxicity
 from kinetra.llm.common import keyed_mod, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,9 +27,19 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read_table(spark, sf_dir, "documents"), num=85, den=100)
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, with its most toxic sentence; a third of the ids is held out."""
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    rest = keyed_mod(F.col("doc_id"), 3)
+    model = toxicity.fit(docs, labels, rest != 1)
+    told = toxicity.score(docs, model, ["doc_id"])
+    return told.select("doc_id", F.coalesce(rest == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= toxicity.CUT).cast("int").alias("predicted"), "top_start", "top_end", "top_score")
+
+
 QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
+    "op9_toxicity": op9_toxicity,
 }
 
 ORACLES: dict[str, str] = {}
