@@ -27,58 +27,52 @@ from kinetra.llm.graph import components
 
 #: Ids up to this number (8 bytes each) may be broadcast to thin out a scan; more are joined instead.
 BROADCAST_IDS = 1_000_000
-_LANES = ("q0", "q1", "q2", "q3")
+#: MinHash values behind a sketch, two bits of each; they sit in ``SKETCH / 32`` signed 64-bit columns.
+SKETCH = 512
+_LANES = tuple(f"q{i}" for i in range(SKETCH // 32))
 
 
-def _sketch(values: np.ndarray) -> list[int]:
-    """Two bits of each of 128 values, in four signed 64-bit integers."""
-    two = (values[:128] & np.uint32(3)).astype(np.uint64).reshape(4, 32)
-    packed = (two << (np.arange(32, dtype=np.uint64) * np.uint64(2))).sum(axis=1, dtype=np.uint64)
-    return packed.astype(np.int64).tolist()
+def _sketches(values: np.ndarray) -> np.ndarray:
+    """Two bits of each value of ``(rows, SKETCH)``, as ``(rows, SKETCH / 32)`` signed integers."""
+    two = (values & np.uint32(3)).astype(np.uint64).reshape(len(values), -1, 32)
+    return (two << (np.arange(32, dtype=np.uint64) * np.uint64(2))).sum(axis=2, dtype=np.uint64).view(np.int64)
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, values: int) -> DataFrame:
-    """Rows ``(id, n, d1, d2, sig)``: set size, 128-bit digest of the set, packed big-endian signature."""
+    """Rows ``(id, n, d1, d2, sig, q0..)``: set size, 128-bit digest of the set, the first ``values`` MinHash
+    values packed big-endian, and the sketch of all of them."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in text_slices(batches, "t"):
             sets = S.shingle_sets(texts, width)
             digests = [S.set_digest(s) for s in sets]
-            packed = [S.signature(s, values).astype(">u4").tobytes() if len(s) else None for s in sets]
+            minima = np.stack([S.signature(s, SKETCH) if len(s) else np.zeros(SKETCH, np.uint32) for s in sets])
+            packed = [m[:values].astype(">u4").tobytes() if len(s) else None for m, s in zip(minima, sets)]
+            lanes = _sketches(minima)
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), pa.array(packed, pa.binary())],
-                names=["id", "n", "d1", "d2", "sig"],
+                [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), pa.array(packed, pa.binary()), *(pa.array(lanes[:, i], pa.int64()) for i in range(len(_LANES)))],
+                names=["id", "n", "d1", "d2", "sig", *_LANES],
             )
 
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
-    return slim.mapInArrow(run, "id long, n long, d1 long, d2 long, sig binary")
-
-
-def _with_sketch(reps: DataFrame) -> DataFrame:
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [_sketch(np.frombuffer(x, ">u4").astype(np.uint32)) for x in b.column(2).to_pylist()]
-            lanes = [pa.array([r[i] for r in rows], pa.int64()) for i in range(4)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *lanes, b.column(2)], names=["id", "n", *_LANES, "sig"])
-
-    return reps.select("id", "n", "sig").mapInArrow(run, "id long, n long, q0 long, q1 long, q2 long, q3 long, sig binary")
+    return slim.mapInArrow(run, "id long, n long, d1 long, d2 long, sig binary, " + ", ".join(f"{q} long" for q in _LANES))
 
 
 def _agreeing(a: str, b: str) -> Column:
-    """Number of the 128 sketch places at which two rows agree."""
+    """Number of the sketch places at which two rows agree."""
     bits = None
     for q in _LANES:
         x = F.col(f"{a}.{q}").bitwiseXOR(F.col(f"{b}.{q}"))
         off = F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
         bits = off if bits is None else bits + off
-    return F.lit(128) - bits
+    return F.lit(SKETCH) - bits
 
 
 def least_agreeing(num: int, den: int, sigmas: float = 3.5) -> int:
     """Places that must agree so that a pair at the threshold is missed with probability under 3e-4."""
     j = num / den
     p = j + (1 - j) / 4
-    return int(np.floor(128 * p - sigmas * np.sqrt(128 * p * (1 - p))))
+    return int(np.floor(SKETCH * p - sigmas * np.sqrt(SKETCH * p * (1 - p))))
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, num: int, den: int) -> DataFrame:
@@ -131,12 +125,11 @@ def _regions(reps: DataFrame, trees: int, depth: int, base: int, region_rows: in
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 5, num: int = 85, den: int = 100, trees: int = 16, base: int = 4, depth: int = 8, region_rows: int = 512) -> DataFrame:
     """One row per input row: ``(id, n_shingles, component_id, kept)``."""
     require(docs, id_col, text_col)
-    if trees * depth < 128:
-        raise ValueError("the sketch needs 128 values: trees * depth >= 128")
+    if trees * depth > SKETCH:
+        raise ValueError(f"trees * depth must not exceed {SKETCH}")
     all_rows = cut(signatures(docs, id_col, text_col, width, trees * depth))
-    classes = all_rows.where("n > 0 and id is not null").groupBy("d1", "d2").agg(F.min(F.struct("id", "n", "sig")).alias("r"))
-    copies = cut(classes.select("d1", "d2", "r.id", "r.n", "r.sig"))
-    reps = cut(_with_sketch(copies))
+    classes = all_rows.where("n > 0 and id is not null").groupBy("d1", "d2").agg(F.min(F.struct("id", "n", "sig", *_LANES)).alias("r"))
+    reps = cut(classes.select("d1", "d2", "r.*"))
 
     first, split = _regions(reps.select("id", "sig"), trees, depth, base, region_rows)
     weight = first.groupBy("id").agg(F.sum("size").alias("w"))
@@ -158,16 +151,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     inside = cut(split.join(joined.select(F.col("node").alias("id"), "root"), "id", "left").select("region", "id", F.coalesce("root", "id").alias("root")))
     parts = inside.groupBy("region", "root").agg(F.count(F.lit(1)).alias("c"))
     main = parts.groupBy("region").agg(F.max(F.struct("c", "root")).alias("m"), F.count(F.lit(1)).alias("k")).where("k > 1").select("region", F.col("m.root").alias("main"))
-    mixed = cut(inside.join(main, "region").join(info.select("id", "n", *_LANES), "id"))
+    places = inside.groupBy("id").agg(F.collect_set("region").alias("places"))  # one for each tree at most
+    mixed = cut(inside.join(main, "region").join(info.select("id", "n", *_LANES), "id").join(places, "id"))
+    once = F.col("x.region") == F.array_min(F.array_intersect("x.places", "y.places"))
     minor = mixed.where("root <> main")
-    across = minor.alias("x").join(mixed.alias("y"), (F.col("x.region") == F.col("y.region")) & (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.main")) | (F.col("x.id") < F.col("y.id"))) & alike("x", "y"))
+    across = minor.alias("x").join(mixed.alias("y"), (F.col("x.region") == F.col("y.region")) & (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.main")) | (F.col("x.id") < F.col("y.id"))) & alike("x", "y") & once)
     more = across.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
     seen = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = cut(more.join(seen, ["a", "b"], "left_anti"))
     found = links if more.isEmpty() else links.union(cut(confirm(more, docs, id_col, text_col, width, num, den)))
     roots = components(found)
 
-    named = copies.select("d1", "d2", F.col("id").alias("rep")).join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("d1", "d2", F.coalesce("root", "rep").alias("root"))
+    named = reps.select("d1", "d2", F.col("id").alias("rep")).join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("d1", "d2", F.coalesce("root", "rep").alias("root"))
     out = all_rows.select("id", "n", "d1", "d2").join(named, ["d1", "d2"], "left")
     component = F.when(F.col("n") > 0, F.coalesce("root", "id")).otherwise(F.col("id"))
     component = F.when(F.col("id").isNotNull(), component)
