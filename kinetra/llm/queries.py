@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinetra.llm import langid, minhash, piece_codec, token_counts, token_store, toxicity
+from kinetra.llm import langid, minhash, mixing, piece_codec, sharding, token_counts, token_store, toxicity
 from kinetra.llm.chunks import byte_pair_codec
 from kinetra.llm.common import keyed_mod, read_table, scratch_path
 
@@ -27,6 +27,11 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", F.coalesce(rest == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix by weights 3, 1, 2 and 150 % of all words takes of every document."""
+    return mixing.mix(read_table(spark, sf_dir, "documents"), weights=(3.0, 1.0, 2.0), share=1.5, most_repeats=2.0)
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents at a similarity of 0.85 on five-word shingles."""
     return minhash.near_duplicates(read_table(spark, sf_dir, "documents"), num=85, den=100)
@@ -38,6 +43,12 @@ def tokenizer(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document: equal texts together, row counts one apart at most."""
+    told = sharding.shard_equal_texts(read_table(spark, sf_dir, "documents"), shards=8)
+    return told.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' ids written in ascending order of doc_id, with id 0 behind each, and read back."""
     vocabulary = tokenizer(BYTE_BPE)
@@ -75,7 +86,9 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
+    "op2_mixing": op2_mixing,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
+    "op4_sharding": op4_sharding,
     "op5_token_store": op5_token_store,
     "op7_sentencepiece": op7_sentencepiece,
     "op9_toxicity": op9_toxicity,
