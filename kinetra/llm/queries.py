@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinetra.llm import langid, minhash, mixing, piece_codec, sharding, token_counts, token_store, toxicity
+from kinetra.llm import embeddings, imatch, langid, minhash, mixing, piece_codec, sharding, token_counts, token_store, toxicity
 from kinetra.llm.chunks import byte_pair_codec
 from kinetra.llm.common import keyed_mod, read_table, scratch_path
 
@@ -62,12 +62,22 @@ def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read(spark, path).select(F.col("key").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors of equal label at a cosine of 0.93."""
+    return embeddings.near_duplicates(read_table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's ids, with begin and end, and of the text decoded from them."""
     told = piece_codec.encode_decode(read_table(spark, sf_dir, "documents"), tokenizer(PIECE_BPE), ["doc_id"])
     return told.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """I-Match fingerprints of all documents and of their edited texts."""
+    return imatch.edit_study(read_table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, with its most toxic sentence; a third of the ids is held out."""
     docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
@@ -90,7 +100,9 @@ QUERIES: dict[str, Query] = {
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_sharding": op4_sharding,
     "op5_token_store": op5_token_store,
+    "op6_embedding_near_dedup": op6_embedding_near_dedup,
     "op7_sentencepiece": op7_sentencepiece,
+    "op8_document_fingerprints": op8_document_fingerprints,
     "op9_toxicity": op9_toxicity,
     "op10_token_counts": op10_token_counts,
 }
