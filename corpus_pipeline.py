@@ -45,7 +45,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     share in any budget and stay once."""
     told = mixing.mix(docs)
     copies = F.when(F.col("size") > 0, F.round(F.col("taken") / F.greatest(F.col("size"), F.lit(1))).cast("int")).otherwise(1)
-    dealt = cut(told.select(F.col("doc_id").alias("__id"), copies.alias("__copies")).distinct())
+    dealt = cut(told.groupBy(F.col("doc_id").alias("__id")).agg(F.max(copies).alias("__copies")))
     joined = docs.select(*COLUMNS).join(dealt, F.col("doc_id").eqNullSafe(F.col("__id"))).where("__copies > 0")
     return joined.withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*COLUMNS)
 
