@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 
 from kinetra import constants as K
@@ -55,14 +57,24 @@ def _filter_once(b: np.ndarray, a: np.ndarray, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def zero_phase(x: np.ndarray, cutoff: float, hz: float, pad: int = 9) -> np.ndarray:
-    """K8 on one gap-free run: forward and backward with odd extension."""
+def _both_ways(x: np.ndarray, cutoff: float, hz: float, pad: int) -> np.ndarray:
     b, a = lowpass_design(cutoff, hz)
     ext = np.concatenate((2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]))
     y = _filter_once(b, a, ext)
     return _filter_once(b, a, y[::-1])[::-1][pad:-pad]
 
 
+@lru_cache(maxsize=32)
+def _operator(n: int, cutoff: float, hz: float, pad: int) -> np.ndarray:
+    return _both_ways(np.eye(n), cutoff, hz, pad)
+
+
+def zero_phase(x: np.ndarray, cutoff: float, hz: float, pad: int = 9) -> np.ndarray:
+    """K8 on one gap-free run: forward and backward with odd extension.  The filter is linear, so runs of a
+    burst's length (up to 1,024 samples) are one product with a cached matrix."""
+    return _operator(len(x), cutoff, hz, pad) @ x if len(x) <= 1024 else _both_ways(x, cutoff, hz, pad)
+
+
 def filter_runs(x: np.ndarray, cutoff: float, hz: float, shortest: int, mean_if_short: bool) -> tuple[np.ndarray, bool]:
     """Each valid run filtered; short runs pass through or become their mean. Tells whether any was short."""
     out, short = np.full_like(x, np.nan), False
@@ -85,16 +97,24 @@ def fuse_gravity(acc: np.ndarray, gyro: np.ndarray, hz: float, tau: float = K.FU
     good = np.flatnonzero(ok)
     if not len(good):
         return out
-    g = hats[good[: K.FUSION_SEED_SAMPLES]].mean(axis=0)
-    g /= max(np.linalg.norm(g), 1e-12)
-    for i in range(int(good[0]), len(acc)):
-        if np.isfinite(gyro[i]).all():
-            p = g - np.cross(gyro[i], g) * dt
-            g = p / max(np.linalg.norm(p), 1e-12)
-        if ok[i]:
-            m = alpha * g + (1 - alpha) * hats[i]
-            g = m / max(np.linalg.norm(m), 1e-12)
-        out[i] = g
+    x, y, z = (float(v) for v in hats[good[: K.FUSION_SEED_SAMPLES]].mean(axis=0))
+    spins, spun = gyro.tolist(), np.isfinite(gyro).all(axis=1).tolist()
+    for i, (h, seen) in enumerate(zip(hats.tolist(), ok.tolist())):  # plain floats: the fold is sequential
+        if i < good[0]:
+            continue
+        if i == good[0]:
+            n = max((x * x + y * y + z * z) ** 0.5, 1e-12)
+            x, y, z = x / n, y / n, z / n
+        if spun[i]:
+            a, b, c = spins[i]
+            x, y, z = x - (b * z - c * y) * dt, y - (c * x - a * z) * dt, z - (a * y - b * x) * dt
+            n = max((x * x + y * y + z * z) ** 0.5, 1e-12)
+            x, y, z = x / n, y / n, z / n
+        if seen:
+            x, y, z = (alpha * p + (1 - alpha) * q for p, q in zip((x, y, z), h))
+            n = max((x * x + y * y + z * z) ** 0.5, 1e-12)
+            x, y, z = x / n, y / n, z / n
+        out[i] = x, y, z
     return out
 
 
