@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 from kinetra import constants as K
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once per row."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def total(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
 
@@ -30,9 +35,14 @@ def softmax(z: Column, temperature: float = 1.0) -> Column:
     """K26, stable; temperature must be positive."""
     if temperature <= 0:
         raise ValueError("temperature must be positive")
-    top = F.array_max(z)
-    e = F.transform(z, lambda x: F.exp((x - top) / temperature))
-    return F.transform(e, lambda x: x / total(e))
+
+    def shares(e: Column) -> Column:
+        return let(total(e), lambda s: F.transform(e, lambda x: x / s))
+
+    def powers(v: Column) -> Column:
+        return let(F.array_max(v), lambda top: F.transform(v, lambda x: F.exp((x - top) / temperature)))
+
+    return let(z, lambda v: let(powers(v), shares))
 
 
 def entropy(p: Column) -> Column:
@@ -59,7 +69,7 @@ def top_k(p: Column, k: int) -> Column:
 def blend(ml: Column, physics: Column, alpha: Column) -> Column:
     """M8: convex mix, clipped at 1e-12 and scaled to sum 1."""
     mixed = F.zip_with(ml, physics, lambda a, b: F.greatest(F.lit(1e-12), alpha * a + (F.lit(1.0) - alpha) * b))
-    return F.transform(mixed, lambda x: x / total(mixed))
+    return let(mixed, lambda m: let(total(m), lambda s: F.transform(m, lambda x: x / s)))
 
 
 def calibrate(p: Column, temperature: float) -> Column:
@@ -159,8 +169,10 @@ def predict_proba(f: dict[str, Column], th: dict[str, float] = K.THRESHOLDS, tem
         "running": moving + margin(f["sma"], th["run_sma"], 0.3) + margin(f["jerk_mean"], th["run_jerk"], 3.0),
         "bicycling": moving + F.when(gyro, margin(rotation_ratio(f["gyro_rms"], f["sma"]), th["bike_rotation_ratio"], 2.0) + margin(dominance, th["bike_gyro_dominance"], 0.1) - even - swing).otherwise(-step * 0.5),
     }
-    hard = label_activity(f, th, loco)
-    return softmax(F.array(*[scores[c] + F.when(hard == c, 1.5).otherwise(0.0) for c in K.CLASSES]), temperature)
+    raw = F.array(*[scores[c] for c in K.CLASSES])
+    names = F.array(*[F.lit(c) for c in K.CLASSES])
+    lead = let(label_activity(f, th, loco), lambda h: F.transform(names, lambda c: F.when(c == h, 1.5).otherwise(0.0)))
+    return softmax(F.zip_with(raw, lead, lambda a, b: a + b), temperature)
 
 
 def running_override(p: Column, sma: Column, jerk: Column, cadence: Column, th: dict[str, float] = K.THRESHOLDS) -> Column:

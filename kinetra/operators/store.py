@@ -56,9 +56,9 @@ def page(rows: DataFrame, uuid: str | None = None, first: str | None = None, las
     and limit."""
     out = rows if uuid is None else rows.where(F.col("uuid") == uuid)
     if first is not None:
-        out = out.where(F.col("t_start") >= F.unix_timestamp(F.lit(first), F.lit("yyyy-MM-dd")))
+        out = out.where(F.col("t_start") >= F.unix_timestamp(F.lit(first), "yyyy-MM-dd"))
     if last is not None:
-        out = out.where(F.col("t_start") < F.unix_timestamp(F.lit(last), F.lit("yyyy-MM-dd")) + 86400)
+        out = out.where(F.col("t_start") < F.unix_timestamp(F.lit(last), "yyyy-MM-dd") + 86400)
     out = out.orderBy("t_start", "segment_id")
     return out.limit(limit) if limit else out
 

@@ -102,12 +102,15 @@ def samples(bursts: DataFrame) -> DataFrame:
     return s.select("uuid", (F.col("timestamp") + F.col("s.t")).alias("t"), (F.col("s.body").isNotNull() & ~F.isnan("s.body")).alias("ok"))
 
 
-def synthetic_bursts(events: DataFrame, n_samples: int = 800, hz: float = 40.0) -> DataFrame:
-    """Bursts derived from event rows by a fixed rule (tilted gravity and a stepping motion set by the row)."""
+def synthetic_bursts(events: DataFrame, n_samples: int = 400, hz: float = 40.0) -> DataFrame:
+    """Bursts derived from all event rows by a fixed rule: one for each user and day, in the minute of its first
+    event, with a stepping motion whose strength and pace follow the day's values and number of events."""
     sec = F.col("ts").cast("timestamp").cast("double")
+    days = events.groupBy(F.col("user_id").cast("string").alias("uuid"), F.to_date("ts").alias("day")).agg(F.min(sec).alias("first"), F.avg("value").alias("m"), F.count(F.lit(1)).alias("n"), F.sum((F.col("event_type") == "error").cast("int")).alias("e"))
     t = F.sequence(F.lit(0), F.lit(n_samples - 1))
-    amp = F.when(F.col("event_type").isin("click", "purchase"), 0.35).otherwise(0.002) + F.pmod(F.col("event_id"), F.lit(7)) * 0.01
-    step = 1.0 + F.pmod(F.col("event_id"), F.lit(4)) * 0.5
-    acc = F.transform(t, lambda i: F.struct((i / hz).alias("t"), (F.lit(0.5) + amp * 0.5 * F.sin(2 * np.pi * step * i / hz)).alias("x"), F.lit(0.1).alias("y"), (F.lit(-0.86) - amp * 0.86 * F.sin(2 * np.pi * step * i / hz)).alias("z")))
-    gyro = F.transform(t, lambda i: F.struct((i / hz).alias("t"), (F.lit(0.05) * F.sin(2 * np.pi * step * i / hz)).alias("x"), (amp * F.sin(2 * np.pi * step * i / hz)).alias("y"), F.lit(0.01).alias("z")))
-    return events.select(F.col("user_id").cast("string").alias("uuid"), (F.floor(sec / 60) * 60).cast("long").alias("timestamp"), acc.alias("acc"), F.when(F.col("event_id") % 5 != 0, gyro).alias("gyro")).dropDuplicates(["uuid", "timestamp"])
+    amp = F.pmod(F.coalesce("m", F.lit(0.0)) / 40.0, F.lit(0.6))
+    step = 1.0 + F.pmod(F.col("n"), F.lit(4)) * 0.5
+    wave = lambda i: F.sin(2 * np.pi * step * i / hz)
+    acc = F.transform(t, lambda i: F.struct((i / hz).alias("t"), (F.lit(0.5) + amp * 0.5 * wave(i)).alias("x"), F.lit(0.1).alias("y"), (F.lit(-0.86) - amp * 0.86 * wave(i)).alias("z")))
+    gyro = F.transform(t, lambda i: F.struct((i / hz).alias("t"), (F.lit(0.05) * wave(i)).alias("x"), (amp * wave(i)).alias("y"), F.lit(0.01).alias("z")))
+    return days.select("uuid", (F.floor(F.col("first") / 60) * 60).cast("long").alias("timestamp"), acc.alias("acc"), F.when(F.col("e") == 0, gyro).alias("gyro"))
