@@ -73,11 +73,11 @@ def emit(run: pd.DataFrame, path: np.ndarray, sources: list[str], hop: float, si
     return pd.DataFrame(out, columns=[c.split()[0] for c in SEGMENT_DDL.split(", ")])
 
 
-def segment_windows(windows: DataFrame, model: DataFrame, *, temperature: float = 1.0, max_join_gap: float = 0.0, hop: float = 1.0, min_duration: float = K.MIN_ACTIVITY_S, time_aware: bool = True, signals: DataFrame | None = None) -> DataFrame:
+def segment_windows(windows: DataFrame, model: DataFrame, *, temperature: float = 1.0, max_join_gap: float = 0.0, hop: float = 1.0, min_duration: float = K.MIN_ACTIVITY_S, time_aware: bool = True) -> DataFrame:
     """Runs, calibrated emissions, minimum-run Viterbi, segments.
 
-    ``signals`` (``uuid, timestamp, t, body`` with body magnitude) lets edges snap; it is joined by user and
-    minute to the windows that begin a minute, so each burst travels once.
+    Edges snap where the windows carry ``sig_t`` and ``sig_body`` (sample times and body magnitude of the
+    burst, on the first window of each stretch), so signals need no join of their own.
     """
     p, sources = transition_arrays(model)
     k = max(int(round(min_duration / hop)), 3)
@@ -86,11 +86,7 @@ def segment_windows(windows: DataFrame, model: DataFrame, *, temperature: float
     usable = F.col("probs").isNotNull() & ~F.array_contains("flags", "insufficient_data")
     w = windows.withColumn("abs_start", F.col("timestamp") + F.col("t_start_s")).withColumn("abs_end", F.col("timestamp") + F.col("t_end_s"))
     runs = intervals.runs(w, ["uuid"], "abs_start", "abs_end", usable, max_join_gap)
-    snap = signals is not None
-    if snap:
-        first = runs.groupBy("uuid", "run_id", "timestamp").agg(F.min("abs_start").alias("abs_start"))
-        carried = first.join(signals.select("uuid", "timestamp", F.col("t").alias("sig_t"), F.col("body").alias("sig_body")), ["uuid", "timestamp"])
-        runs = runs.join(carried.select("uuid", "run_id", "timestamp", "abs_start", "sig_t", "sig_body"), ["uuid", "run_id", "timestamp", "abs_start"], "left")
+    snap = "sig_t" in windows.columns
     cols = ["uuid", "run_id", "timestamp", "t_start_s", "t_end_s", "abs_start", "probs", "valid_fraction", "flags", *(["sig_t", "sig_body"] if snap else [])]
 
     def decode(pdf: pd.DataFrame) -> pd.DataFrame:

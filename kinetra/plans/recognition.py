@@ -47,8 +47,9 @@ def preprocess(bursts: DataFrame) -> DataFrame:
     return bursts.select("uuid", "timestamp", "acc", "gyro").mapInPandas(run, SIGNAL_DDL)
 
 
-def windows(bursts: DataFrame, size_s: float = K.WINDOW_S, overlap: float = K.OVERLAP) -> DataFrame:
-    """Windows of 2 s, half overlapping, with all features: no shuffle."""
+def windows(bursts: DataFrame, size_s: float = K.WINDOW_S, overlap: float = K.OVERLAP, signals: bool = False) -> DataFrame:
+    """Windows of 2 s, half overlapping, with all features: no shuffle.  With ``signals`` the first window
+    of each stretch of usable ones carries the burst's sample times and body magnitudes."""
     size = int(round(size_s * K.TARGET_HZ))
     hop = max(1, int(round(size * (1 - overlap))))
 
@@ -60,11 +61,19 @@ def windows(bursts: DataFrame, size_s: float = K.WINDOW_S, overlap: float = K.OV
                 extra = {"unit_ambiguous"} & set(s["flags"])
                 for i, lo in enumerate(range(0, len(s["t"]) - size + 1, hop)):
                     f = N.window_features(s, lo, lo + size)
-                    out.append({"uuid": u, "timestamp": ts, "index": i, "t_start_s": float(s["t"][lo]), "t_end_s": float(s["t"][lo + size - 1]), **f, "flags": sorted({*f["flags"], *extra})})
-            names = ["uuid", "timestamp", "index", "t_start_s", "t_end_s", *_FEATURES, "cadence_peaks", "has_gyro", "flags"]
-            yield pd.DataFrame(out, columns=names)
+                    row = {"uuid": u, "timestamp": ts, "index": i, "t_start_s": float(s["t"][lo]), "t_end_s": float(s["t"][lo + size - 1]), **f, "flags": sorted({*f["flags"], *extra})}
+                    usable = "insufficient_data" not in f["flags"]
+                    if signals and usable and (i == 0 or not before):
+                        row |= {"sig_t": s["t"].tolist(), "sig_body": np.linalg.norm(s["body"], axis=1).tolist()}
+                    before = usable
+                    out.append(row)
+            names = ["uuid", "timestamp", "index", "t_start_s", "t_end_s", *_FEATURES, "cadence_peaks", "has_gyro", "flags", *(["sig_t", "sig_body"] if signals else [])]
+            frame = pd.DataFrame(out, columns=names)
+            for c in ("sig_t", "sig_body") if signals else ():
+                frame[c] = [x if isinstance(x, list) else None for x in frame[c]]
+            yield frame
 
-    return bursts.select("uuid", "timestamp", "acc", "gyro").mapInPandas(run, WINDOW_DDL)
+    return bursts.select("uuid", "timestamp", "acc", "gyro").mapInPandas(run, WINDOW_DDL + (", sig_t array<double>, sig_body array<double>" if signals else ""))
 
 
 def feature_columns(placement: Column | None = None, placeholder: bool = False) -> dict[str, Column]:
@@ -91,9 +100,8 @@ def score(w: DataFrame, th: dict[str, float] = K.THRESHOLDS, model: Callable[[Da
 def timeline(bursts: DataFrame, transitions: DataFrame | None = None, *, snap: bool = True, max_join_gap: float = 0.0, temperature: float = 1.0) -> DataFrame:
     """The whole plan: bursts to timeline rows."""
     model = transitions if transitions is not None else decode.default_model(bursts.sparkSession)
-    scored = score(windows(bursts))
-    signals = preprocess(bursts).select("uuid", "timestamp", "t", "body") if snap else None
-    return store.timeline_rows(decode.segment_windows(scored, model, max_join_gap=max_join_gap, temperature=temperature, signals=signals))
+    scored = score(windows(bursts, signals=snap))
+    return store.timeline_rows(decode.segment_windows(scored, model, max_join_gap=max_join_gap, temperature=temperature))
 
 
 def samples(bursts: DataFrame) -> DataFrame:
