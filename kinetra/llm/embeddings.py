@@ -28,10 +28,15 @@ from kinetra.llm.common import cut, require
 from kinetra.llm.graph import components
 
 
+#: Unrelated vectors of a label that a bucket should hold: fewer bits need fewer tables, and comparing a few
+#: dozen rows costs less than moving each through more tables.
+BUCKET_ROWS = 32
+
+
 def plan_tables(count: int, threshold: float, miss: float, most_tables: int = 512) -> tuple[int, int]:
     """``(bits, tables)`` for labels of up to ``count`` classes."""
     same = 1.0 - math.acos(min(1.0, max(-1.0, threshold))) / math.pi
-    bits = max(8, min(30, math.ceil(math.log2(max(2, count / 4)))))
+    bits = max(6, min(30, math.ceil(math.log2(max(2, count / BUCKET_ROWS)))))
     hit = same**bits
     tables = 1 if hit >= 1 else math.ceil(math.log(miss) / math.log1p(-hit))
     return bits, min(most_tables, max(1, tables))
@@ -47,7 +52,7 @@ def _codes(vectors: np.ndarray, bits: int, tables: int, seed: int) -> np.ndarray
     return out
 
 
-def _compare(batches: list[pa.RecordBatch], threshold: float) -> pa.RecordBatch:
+def _compare(batches: list[pa.RecordBatch], threshold: float, width: str) -> pa.RecordBatch:
     """Links inside the whole buckets of some batches: ``(id, links, root)`` of every row with a link."""
     t = pa.Table.from_batches(batches)
     ids, table, bucket, own, i, j, copies = (t.column(k).to_numpy() for k in ("id", "table", "bucket", "own", "i", "j", "copies"))
@@ -67,7 +72,7 @@ def _compare(batches: list[pa.RecordBatch], threshold: float) -> pa.RecordBatch:
             continue
         for d in {int(d) for d in dims[lo:hi]}:
             at = lo + np.flatnonzero(dims[lo:hi] == d)
-            x = np.frombuffer(b"".join([raw[k] for k in at]), "<f8").reshape(len(at), -1)
+            x = np.frombuffer(b"".join([raw[k] for k in at]), width).astype(np.float64).reshape(len(at), -1)
             x = x / np.abs(x).max(axis=1, keepdims=True)
             x = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
             for first in range(0, len(at), 256):
@@ -102,6 +107,7 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
     classes = cut(keyed.groupBy("g", "key").agg(F.min(F.struct("id", "v")).alias("m"), F.count(F.lit(1)).alias("copies")).select("g", "key", "m.id", "m.v", "copies"))
     largest = classes.groupBy("g").agg(F.count(F.lit(1)).alias("c")).agg(F.max("c")).first()[0] or 0
     bits, tables = plan_tables(largest, threshold, miss)
+    width = "<f4" if "array<float>" in dict(rows.dtypes)[vector_col] else "<f8"  # as the input has them
 
     def hashed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -109,7 +115,7 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
             packed, coded = [], []
             for x in lists:
                 x = np.array(x, dtype=np.float64)
-                packed.append(x.astype("<f8").tobytes())
+                packed.append(x.astype(width).tobytes())
                 coded.append(x / max(np.abs(x).max(), 1e-300))
             by_dim: dict[int, list[int]] = {}
             for i, x in enumerate(coded):
@@ -141,18 +147,18 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
                 held.append(b.slice(0, head))
                 if head == b.num_rows:
                     continue
-                yield _compare(held, threshold)
+                yield _compare(held, threshold, width)
                 held, b = [], b.slice(head)
                 cut_at = cut_at[1:] - head
             elif held:
-                yield _compare(held, threshold)
+                yield _compare(held, threshold, width)
                 held = []
             tail = int(cut_at[-1]) if len(cut_at) else 0
             if tail:
-                yield _compare([b.slice(0, tail)], threshold)
+                yield _compare([b.slice(0, tail)], threshold, width)
             held = [b.slice(tail)] if b.num_rows > tail else []
         if held:
-            yield _compare(held, threshold)
+            yield _compare(held, threshold, width)
 
     found = cut(full.select("id", "table", "bucket", "own", "i", "j", "v", "codes", "copies").mapInArrow(run, "id long, links long, root long"))
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))
