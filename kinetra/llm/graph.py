@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from kinetra.llm.common import cut
 
+#: Edges that one task may handle; fewer are kept in one partition, so small graphs need no shuffles.
+TASK_EDGES = 200_000
+
 
 def _fingerprint(edges: DataFrame) -> tuple:
     row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % F.lit(1 << 31))).first()
@@ -25,6 +28,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         if not mark[0]:
             break
+        if mark[0] <= TASK_EDGES:
+            now = now.coalesce(1)
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
