@@ -38,15 +38,30 @@ def lexicon(texts: DataFrame, text_col: str, *, least: float, most: float, floor
 
 
 def _subset_hashes(held: Column, subsets: int, rates: int) -> Column:
-    """Hash of the sorted terms of each randomised lexicon, zeros where none: lexicon ``k`` keeps a share of
-    ``1 / 2**(3 + k % rates)`` of the terms."""
+    """Hash of the sorted terms of each randomised lexicon, zeros where none.
 
-    def one(k: Column) -> Column:
-        span = F.element_at(F.array(*[F.lit(8 << r).cast("long") for r in range(rates)]), k % rates + 1)
-        own = F.filter(held, lambda t: F.pmod(F.xxhash64(t, k), span) == 0)
-        return F.when(F.size(own) > 0, F.substring(F.md5(F.array_join(F.transform(own, lambda t: t.cast("string")), ",").cast("binary")), 1, 8)).otherwise(F.lit(ZERO))
+    Terms are 64-bit hashes.  For each rate ``r`` a bit field of its own deals them into ``8 * 2**r`` cells,
+    and the first cells are lexicons: each keeps a share of ``1 / 2**(3 + r)`` of the terms.
+    """
+    each, parts, shift = subsets // rates, [], 0
+    for r in range(rates):
+        parts.append(_rate_hashes(held, shift, (8 << r) - 1, each))
+        shift += 3 + r
+    return F.array_join(F.concat(*parts), "")
+
+
+def _rate_hashes(held: Column, shift: int, mask: int, cells: int) -> Column:
+    def cell(t: Column) -> Column:
+        return F.shiftrightunsigned(t, shift).bitwiseAND(F.lit(mask))
+
+    def hashed(own: Column) -> Column:
+        return F.when(F.size(own) > 0, F.right(F.lpad(F.lower(F.hex(F.xxhash64(own))), 16, "0"), F.lit(8))).otherwise(F.lit(ZERO))
+
+    def lexicons(part: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(cells - 1)), lambda c: hashed(F.filter(part, lambda t: cell(t) == c)))
 
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(subsets - 1)), one), "")
+    # the terms of this rate's lexicons are picked once per text, then dealt to the cells
+    return F.element_at(F.transform(F.array(F.filter(held, lambda t: cell(t) < cells)), lexicons), 1)
 
 
 def fingerprints(rows: DataFrame, lex: DataFrame, key_cols: list[str], text_col: str, *, subsets: int = 56, rates: int = 7) -> DataFrame:
