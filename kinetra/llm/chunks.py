@@ -12,6 +12,8 @@ from array import array
 from collections.abc import Callable
 from functools import lru_cache
 
+import numpy as np
+
 MOST_CHUNKS = 400_000
 LONGEST_KEPT = 64
 
@@ -25,30 +27,34 @@ def pack(ids: list[int], width: str = "<u4") -> bytes:
 
 
 class ChunkTable:
-    """Maps chunk keys to values; ``make`` computes the values of a list of new keys."""
+    """Maps chunk keys to values (never None); ``make`` computes the values of a list of new keys."""
 
     def __init__(self, make: Callable[[list[str]], list], most: int = MOST_CHUNKS):
         self.make, self.most, self.held = make, most, {}
 
     def values(self, runs: list[list[str]]) -> list[list]:
         """The values of several key sequences, in order."""
-        held, new = self.held, {}
+        get, out, gaps, new = self.held.get, [], [], {}
         for keys in runs:
-            for k in set(keys).difference(held):
-                new[k] = None
+            found = list(map(get, keys))
+            gap = [i for i, v in enumerate(found) if v is None]
+            new.update((keys[i], None) for i in gap)
+            out.append(found)
+            gaps.append(gap)
         if new:
             names = list(new)
             new = dict(zip(names, self.make(names)))
-            if len(held) + len(new) <= self.most:
-                held.update((k, v) for k, v in new.items() if len(k) <= LONGEST_KEPT)
-            else:
-                room = self.most - len(held)
-                for k in names[: max(0, room)]:
-                    if len(k) <= LONGEST_KEPT:
-                        held[k] = new[k]
-        if not new:
-            return [list(map(held.__getitem__, keys)) for keys in runs]
-        return [[held[k] if k in held else new[k] for k in keys] for keys in runs]
+            room = self.most - len(self.held)
+            if room > 0:
+                self.held.update((k, new[k]) for k in names[:room] if len(k) <= LONGEST_KEPT)
+            for keys, found, gap in zip(runs, out, gaps):
+                for i in gap:
+                    found[i] = new[keys[i]]
+        return out
+
+
+#: Value of a key that must not be cut out of its text.
+NOT_ALONE = False
 
 
 class PieceCodec:
@@ -106,7 +112,7 @@ class BytePairCodec:
     to the library whole, as do all texts if the file has a normalizer or another kind of pre-tokenizer.
     """
 
-    def __init__(self, path: str, most: int = MOST_CHUNKS):
+    def __init__(self, path: str, most: int = 2 * MOST_CHUNKS):
         import json
 
         from tokenizers import Tokenizer
@@ -118,8 +124,10 @@ class BytePairCodec:
         self.cuttable = not told.get("normalizer") and kind.get("type") == "ByteLevel" and not kind.get("add_prefix_space") and kind.get("use_regex", True)
         self.special = [t["content"] for t in told.get("added_tokens", [])]
         self.width = "<u2" if self.lib.get_vocab_size() <= 1 << 16 else "<u4"
+        names = map(self.lib.id_to_token, range(self.lib.get_vocab_size()))
+        self.spaced = np.array([bool(n) and n.startswith("Ġ") for n in names])
         self.inner = ChunkTable(self._make, most)
-        self.first = ChunkTable(lambda keys: [self._one(k, k) for k in keys], most // 8)
+        self.first = ChunkTable(self._first, most // 8)
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [pack(e.ids, self.width) for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
@@ -128,13 +136,23 @@ class BytePairCodec:
     def _plain(key: str) -> bool:
         return bool(key) and not key[0].isspace() and not key[-1].isspace()
 
-    def _one(self, key: str, text: str) -> bytes | None:
-        return self._ids([text])[0] if self._plain(key) else None
+    def _first(self, keys: list[str]) -> list[bytes | bool]:
+        ids = self._ids(keys)
+        return [i if self._plain(k) else NOT_ALONE for k, i in zip(keys, ids)]
 
-    def _make(self, keys: list[str]) -> list[bytes | None]:
+    def _make(self, keys: list[str]) -> list[bytes | bool]:
         good = [k for k in keys if self._plain(k)]
-        made = dict(zip(good, self._ids([" " + k for k in good])))
-        return [made.get(k) for k in keys]
+        made = dict(zip(good, self._joined(good)))
+        return [made.get(k, NOT_ALONE) for k in keys]
+
+    def _joined(self, keys: list[str]) -> list[bytes]:
+        """Ids of keys behind a space each: one call for all, cut where a token begins with the space."""
+        ids = np.array(self.lib.encode_batch_fast(["".join([" " + k for k in keys])], add_special_tokens=False)[0].ids if keys else [], dtype=self.width)
+        at = np.flatnonzero(self.spaced[ids]).tolist() if len(ids) else []
+        if len(at) != len(keys):
+            return self._ids([" " + k for k in keys])
+        raw, w = ids.tobytes(), int(self.width[-1])
+        return [raw[a * w : b * w] for a, b in zip(at, [*at[1:], len(ids)])]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned integers of ``width``; null is empty."""
@@ -151,7 +169,7 @@ class BytePairCodec:
             tails.append(keys[1:])
             where.append(i)
         for i, head, tail in zip(where, self.first.values(heads), self.inner.values(tails)):
-            if head[0] is None or None in tail:
+            if head[0] is NOT_ALONE or NOT_ALONE in tail:
                 whole.append(i)
             else:
                 out[i] = b"".join((*head, *tail))
