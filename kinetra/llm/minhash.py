@@ -2,7 +2,9 @@
 
 Every distinct shingle set gets a signature.  Each of ``trees`` sorted orders reads its own ``depth``
 values of it; documents that share the first ``base`` of them form a region, and regions with more than
-``region_rows`` members are split by longer common prefixes.  In a region every document is first compared
+``region_rows`` members are split by longer common prefixes; a longer prefix agrees less often, so members
+of split regions are also keyed in further trees, as many as keep the miss of a pair at the threshold where
+``trees`` at depth ``base`` have it (``trees_at``).  In a region every document is first compared
 with the member that shares most prefixes over all trees (a star, not all pairs).  When these links are
 joined into components, the pairs of a region that still lie in different components and whose sketches
 agree well enough are compared too.  Every link is confirmed on the full sets, in exact integer arithmetic.
@@ -14,6 +16,7 @@ null id stay alone and kept; repeated ids count as the same document; other colu
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -39,15 +42,15 @@ def _sketches(values: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, values: int) -> DataFrame:
-    """Rows ``(id, n, d1, d2, sig, q0..)``: set size, 128-bit digest of the set, the first ``values`` MinHash
-    values packed big-endian, and the sketch of all of them."""
+    """Rows ``(id, n, d1, d2, sig, q0..)``: set size, 128-bit digest of the set, the low 16 bits of the first
+    ``values`` MinHash values, and the sketch of all of them."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in text_slices(batches, "t"):
             sets = S.shingle_sets(texts, width)
             digests = [S.set_digest(s) for s in sets]
             minima = np.stack([S.signature(s, SKETCH) if len(s) else np.zeros(SKETCH, np.uint32) for s in sets])
-            packed = [m[:values].astype(">u4").tobytes() if len(s) else None for m, s in zip(minima, sets)]
+            packed = [m[:values].astype(np.uint16).tobytes() if len(s) else None for m, s in zip(minima, sets)]
             lanes = _sketches(minima)
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), pa.array(packed, pa.binary()), *(pa.array(lanes[:, i], pa.int64()) for i in range(len(_LANES)))],
@@ -68,11 +71,22 @@ def _agreeing(a: str, b: str) -> Column:
     return F.lit(SKETCH) - bits
 
 
-def least_agreeing(num: int, den: int, sigmas: float = 3.5) -> int:
-    """Places that must agree so that a pair at the threshold is missed with probability under 3e-4."""
+def least_agreeing(num: int, den: int, miss: float = 1e-5) -> int:
+    """Places that must agree so that a pair at the threshold is missed with probability ``miss`` at most."""
+    p = num / den + (1 - num / den) / 4
+    below = 0.0
+    for k in range(SKETCH + 1):
+        below += math.comb(SKETCH, k) * p**k * (1 - p) ** (SKETCH - k)
+        if below > miss:
+            return k
+    return SKETCH
+
+
+def trees_at(depth: int, num: int, den: int, trees: int, base: int) -> int:
+    """Trees that miss a pair at the threshold by prefixes of ``depth`` no more often than ``trees`` by prefixes
+    of ``base``; no more than the sketch has values for."""
     j = num / den
-    p = j + (1 - j) / 4
-    return int(np.floor(SKETCH * p - sigmas * np.sqrt(SKETCH * p * (1 - p))))
+    return trees if depth <= base or j >= 1 else min(SKETCH // depth, math.ceil(trees * math.log1p(-(j**base)) / math.log1p(-(j**depth)) - 1e-9))
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, num: int, den: int) -> DataFrame:
@@ -101,19 +115,27 @@ def confirm(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, width
     return both.mapInArrow(run, "a long, b long")
 
 
-def _regions(reps: DataFrame, trees: int, depth: int, base: int, region_rows: int) -> tuple[DataFrame, DataFrame]:
-    """``(region, id)`` at the base depth, and after splitting large regions by longer prefixes."""
+def _regions(reps: DataFrame, counts: list[int], depth: int, base: int, region_rows: int) -> tuple[DataFrame, DataFrame]:
+    """``(region, id)`` at the base depth, and after splitting large regions by longer prefixes.
+
+    ``counts``: trees at each depth from ``base`` on.  Whoever is in a region to be split enters the trees
+    that are new at the next depth, so a pair that no settled region holds meets all of that depth's trees.
+    """
 
     def keyed(rows: DataFrame, d: int) -> DataFrame:
-        return rows.select("id", "sig", "tree", F.xxhash64("tree", F.substring("sig", F.col("tree") * (4 * depth) + 1, F.lit(4 * d))).alias("region"))
+        return rows.select("id", "sig", "tree", F.xxhash64("tree", F.substring("sig", F.col("tree") * (2 * depth) + 1, F.lit(2 * d))).alias("region"))
 
-    spread = keyed(reps.select("id", "sig", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")), base)
+    spread = keyed(reps.select("id", "sig", F.explode(F.sequence(F.lit(0), F.lit(counts[0] - 1))).alias("tree")), base)
     sizes = spread.groupBy("region").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     first = cut(spread.select("id", "tree", "region").join(sizes, "region").select("region", "size", "id", "tree"))
     done, pending, d = first.where(F.col("size") <= region_rows).select("region", "id"), first.where(F.col("size") > region_rows), base
     while d < depth and not pending.isEmpty():
         d += 1
-        deeper = keyed(pending.select("id", "tree").join(reps.select("id", "sig"), "id"), d)
+        old, now_trees = counts[d - 1 - base], counts[d - base]
+        trees = pending.select("id", "tree")
+        if now_trees > old:
+            trees = trees.union(pending.select("id").distinct().select("id", F.explode(F.sequence(F.lit(old), F.lit(now_trees - 1))).alias("tree")))
+        deeper = keyed(trees.join(reps.select("id", "sig"), "id"), d)
         sizes = deeper.groupBy("region").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
         now = cut(deeper.select("id", "tree", "region").join(sizes, "region").select("region", "size", "id", "tree"))
         last = d == depth
@@ -127,11 +149,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     require(docs, id_col, text_col)
     if trees * depth > SKETCH:
         raise ValueError(f"trees * depth must not exceed {SKETCH}")
-    all_rows = cut(signatures(docs, id_col, text_col, width, trees * depth))
+    counts = [trees_at(d, num, den, trees, base) for d in range(base, depth + 1)]
+    all_rows = cut(signatures(docs, id_col, text_col, width, max(counts) * depth))
     classes = all_rows.where("n > 0 and id is not null").groupBy("d1", "d2").agg(F.min(F.struct("id", "n", "sig", *_LANES)).alias("r"))
     reps = cut(classes.select("d1", "d2", "r.*"))
 
-    first, split = _regions(reps.select("id", "sig"), trees, depth, base, region_rows)
+    first, split = _regions(reps.select("id", "sig"), counts, depth, base, region_rows)
     weight = first.groupBy("id").agg(F.sum("size").alias("w"))
     info = cut(weight.join(reps.select("id", "n", *_LANES), "id"))
     members = first.select("region", "id").join(info, "id")

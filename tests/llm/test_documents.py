@@ -98,6 +98,23 @@ def test_minhash_star_family_with_split_regions(spark):
         assert got == want
 
 
+def test_minhash_pairs_away_from_hubs_in_split_regions(spark):
+    """Families that share a passage fill regions of far more than 16 members; each family is one pair at
+    about 0.86 and no hub is near it, so the pair must meet in a split region."""
+    shared, out = [f"p{i}" for i in range(150)], {}
+    for k in range(300):
+        own = [f"k{k}w{i}" for i in range(36)]
+        for half in (0, 1):
+            words = shared + own
+            words[154] = words[164] = words[182] = f"h{half}k{k}"
+            out[2 * k + half] = " ".join(words)
+    a, b = word_set(out[0]), word_set(out[1])
+    assert 0.85 <= len(a & b) / len(a | b) < 0.87 and len(a & word_set(out[2])) / len(a | word_set(out[2])) < 0.8
+    df = spark.createDataFrame(list(out.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(df, trees=6, base=1, region_rows=16).collect()}
+    assert got == {i: i - i % 2 for i in out}
+
+
 def test_minhash_empty(none):
     assert minhash.near_duplicates(none).count() == 0
 
