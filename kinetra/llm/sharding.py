@@ -1,9 +1,11 @@
-"""Sharding by balanced label propagation: linked documents gather in a shard, row counts stay even.
+"""Sharding that keeps linked documents together while row counts stay even.
 
-Documents start in a shard drawn by hash.  In each round a document wants the shard that holds most of its
-group (all linked documents); moves are granted up to the room that the target shard has, counted in exact
-ranks that come from bucket sums, so no task sees more than a bucket.  At last the shards with more than
-their quota give documents up, unlinked ones first, and counts differ by one at most (law ``rows``).
+Groups are cliques (all documents of a group are linked), so one step of label propagation would give all of
+them one label; groups are therefore placed whole.  Groups above ``1 / PLANNED`` of the rows, the largest
+first, go to the shard with the least room that holds them, or fill the emptiest shards one after another;
+the other groups and then the unlinked rows share the room that is left, by hash.  At last the shards with
+more rows than their goal give some up, unlinked ones first, then groups one by one, counted in exact ranks
+that come from bucket sums, so no task sees more than a bucket; counts differ by one at most (law ``rows``).
 
 Rules for odd input: null text has no bytes, crc32 0 and forms no group; rows with a null id are placed as
 any other; equal rows get slots of their own; an empty table gives an empty result.
@@ -19,6 +21,8 @@ from kinetra.llm.common import cut, require
 
 #: Rows that a bucket of ranks should hold at most; the number of buckets follows the count of rows.
 BUCKET_ROWS = 4096
+#: Groups above this part of the rows, so fewer than this many, are placed by the driver.
+PLANNED = 4096
 
 
 def _ranked(rows: DataFrame, keys: list[str], first: str, buckets: int, out: str) -> DataFrame:
@@ -27,17 +31,33 @@ def _ranked(rows: DataFrame, keys: list[str], first: str, buckets: int, out: str
     parts = [*keys, first, "bucket"]
     sums = rows.groupBy(*parts).agg(F.count(F.lit(1)).alias("c"))
     offsets = sums.withColumn("offset", F.sum("c").over(W.partitionBy(*keys).orderBy(first, "bucket").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("c")).drop("c")
-    inner = F.row_number().over(W.partitionBy(*parts).orderBy("h", "id", "size", "crc")) - 1
+    inner = F.row_number().over(W.partitionBy(*parts).orderBy("g", "h", "id", "size", "crc")) - 1
     return rows.withColumn("__inner", inner).join(offsets, parts).withColumn(out, (F.col("offset") + F.col("__inner")).cast("long")).drop("__inner", "offset")
 
 
-def _want(rows: DataFrame) -> DataFrame:
-    """For each linked group the shard that holds most of it."""
-    held = rows.where("linked = 1").groupBy("grp", "shard").agg(F.count(F.lit(1)).alias("c"))
-    return held.groupBy("grp").agg(F.max(F.struct("c", F.xxhash64("grp", "shard").alias("tie"), "shard")).alias("m")).select("grp", F.col("m.shard").alias("want"))
+def plan(groups: list[tuple[str, int]], room: list[int]) -> list[tuple[str, int, int, int]]:
+    """``(group, from, to, shard)``: which ranks of each group go where; ``room`` is used up by them."""
+    pieces = []
+    for key, count in sorted(groups, key=lambda g: (-g[1], g[0])):
+        at = 0
+        while at < count:
+            fit = [s for s, r in enumerate(room) if r >= count - at]
+            s = min(fit, key=lambda s: (room[s], s)) if fit else max(range(len(room)), key=lambda s: (room[s], -s))
+            take = min(count - at, room[s])
+            pieces.append((key, at, at + take, s))
+            room[s] -= take
+            at += take
+    return pieces
 
 
-def assign(docs: DataFrame, group: Column, id_col: str = "doc_id", text_col: str = "text", *, shards: int = 8, rounds: int = 2) -> DataFrame:
+def cut_edges(rows: DataFrame, group_col: str, shard_col: str = "shard") -> int:
+    """Pairs of rows of one group that lie in different shards."""
+    held = rows.where(F.col(group_col).isNotNull()).groupBy(group_col, shard_col).agg(F.count(F.lit(1)).alias("c"))
+    cut_pairs = (F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2
+    return int(held.groupBy(group_col).agg(cut_pairs.alias("e")).agg(F.coalesce(F.sum("e"), F.lit(0))).first()[0])
+
+
+def assign(docs: DataFrame, group: Column, id_col: str = "doc_id", text_col: str = "text", *, shards: int = 8) -> DataFrame:
     """``(id, size, text_crc32, shard, slot)`` for every row; ``group`` links documents (null: unlinked)."""
     require(docs, id_col, text_col)
     text = F.col(text_col)
@@ -53,29 +73,33 @@ def assign(docs: DataFrame, group: Column, id_col: str = "doc_id", text_col: str
     buckets = max(1, -(-total // (shards * BUCKET_ROWS)))
     sizes = base.where("grp is not null").groupBy("grp").agg(F.count(F.lit(1)).alias("gc")).where("gc > 1")
     rows = base.join(sizes, "grp", "left")
-    linked = F.col("gc").isNotNull()
-    # a group that fits starts whole, in the shard drawn for it; the quota below decides who stays
-    start = F.pmod(F.xxhash64(F.when(linked & (F.col("gc") * (2 * shards) <= total), F.col("grp")).otherwise(F.col("h").cast("string")), F.lit(29)), F.lit(shards)).cast("int")
-    rows = rows.select("id", "size", "crc", "h", F.when(linked, F.col("grp")).alias("grp"), linked.cast("int").alias("linked"), F.pmod(F.xxhash64("h", F.lit(31)), F.lit(buckets)).cast("int").alias("bucket"), start.alias("shard"))
-    rows = cut(rows)
-
-    quota = -(-total // shards) if total else 0
-    for _ in range(rounds):
-        now = {r["shard"]: r["c"] for r in rows.groupBy("shard").agg(F.count(F.lit(1)).alias("c")).collect()}  # one row per shard
-        room = {s: max(0, quota - now.get(s, 0)) for s in range(shards)}
-        wants = rows.join(_want(rows), "grp", "left").withColumn("to", F.when(F.col("want") != F.col("shard"), F.col("want")))
-        movers = _ranked(wants.where("to is not null").withColumn("same", F.lit(0)), ["to"], "same", buckets, "rank")
-        open_ = F.element_at(F.array(*[F.lit(room[s]) for s in range(shards)]), F.col("to") + 1)
-        moved = movers.select("id", "size", "crc", "h", "grp", "linked", "bucket", F.when(F.col("rank") < open_, F.col("to")).otherwise(F.col("shard")).alias("shard"))
-        rows = cut(wants.where("to is null").select(*moved.columns).union(moved))
-
-    now = {r["shard"]: r["c"] for r in rows.groupBy("shard").agg(F.count(F.lit(1)).alias("c")).collect()}
     least, extra = divmod(total, shards)
-    order = sorted(range(shards), key=lambda s: (-now.get(s, 0), s))
-    goal = {s: least + (i < extra) for i, s in enumerate(order)}
+    goal = [least + (s < extra) for s in range(shards)]
+    left = list(goal)
+    large = F.col("gc") * PLANNED > total
+    pieces = plan([(r["grp"], r["gc"]) for r in sizes.where(large).collect()], left)  # fewer than PLANNED rows
+    # the others draw a place in the room that is left, groups as a whole
+    linked, rest, upto = F.col("gc").isNotNull(), max(1, sum(left)), 0
+    place = F.pmod(F.xxhash64(F.when(linked, F.col("grp")).otherwise(F.col("h").cast("string")), F.lit(29)), F.lit(rest))
+    start = None
+    for s in range(shards):
+        upto += left[s]
+        start = F.when(place < upto, s) if start is None else start.when(place < upto, s)
+    turn = F.when(~linked, 0).when(large, 2).otherwise(1)  # unlinked rows are given up first
+    g = F.when(linked & ~large, F.xxhash64("grp")).otherwise(F.lit(0).cast("long"))
+    bucket = F.pmod(F.xxhash64(F.when(linked & ~large, g).otherwise(F.col("h")), F.lit(31)), F.lit(buckets)).cast("int")
+    rows = cut(rows.select("id", "size", "crc", "h", "grp", g.alias("g"), turn.alias("turn"), bucket.alias("bucket"), start.cast("int").alias("shard"), F.lit(0).alias("same")))
+    if pieces:
+        spots = docs.sparkSession.createDataFrame(pieces, "grp string, lo long, hi long, to int")
+        ranked = _ranked(rows.where("turn = 2"), ["grp"], "same", buckets, "rank").alias("r")
+        placed = ranked.join(F.broadcast(spots).alias("p"), (F.col("r.grp") == F.col("p.grp")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
+        placed = placed.select("id", "size", "crc", "h", "r.grp", "g", "turn", "bucket", F.col("to").alias("shard"), "same")
+        rows = cut(rows.where("turn < 2").union(placed))
+
+    now = {r["shard"]: r["c"] for r in rows.groupBy("shard").agg(F.count(F.lit(1)).alias("c")).collect()}  # one row per shard
     over = {s: max(0, now.get(s, 0) - goal[s]) for s in range(shards)}
     # surplus rows are numbered shard by shard and dealt to the shards below their goal
-    ranked = _ranked(rows.withColumn("same", F.lit(0)), ["shard"], "linked", buckets, "rank")
+    ranked = _ranked(rows, ["shard"], "turn", buckets, "rank")
     before, sofar = {}, 0
     for s in range(shards):
         before[s] = sofar
@@ -86,11 +110,11 @@ def assign(docs: DataFrame, group: Column, id_col: str = "doc_id", text_col: str
     for s in range(shards):
         upto += max(0, goal[s] - now.get(s, 0))
         dealt = F.when(number < upto, s) if dealt is None else dealt.when(number < upto, s)
-    final = cut(ranked.select("id", "size", "crc", "h", "grp", "linked", "bucket", F.when(surplus, dealt).otherwise(F.col("shard")).cast("int").alias("shard"), F.lit(0).alias("same")))
+    final = cut(ranked.select("id", "size", "crc", "g", "h", "bucket", F.when(surplus, dealt).otherwise(F.col("shard")).cast("int").alias("shard"), F.lit(0).alias("same")))
     out = _ranked(final, ["shard"], "same", buckets, "slot")
     return out.select(F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), "shard", "slot")
 
 
-def shard_equal_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shards: int = 8, rounds: int = 2) -> DataFrame:
+def shard_equal_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shards: int = 8) -> DataFrame:
     """``assign`` with documents of equal text as groups."""
-    return assign(docs, F.md5(F.col(text_col).cast("binary")), id_col, text_col, shards=shards, rounds=rounds)
+    return assign(docs, F.md5(F.col(text_col).cast("binary")), id_col, text_col, shards=shards)

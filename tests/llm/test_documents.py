@@ -172,6 +172,19 @@ def test_sharding_group_larger_than_a_shard(spark):
     assert n.max() - n.min() <= 1 and n.sum() == 300
 
 
+def test_sharding_keeps_groups_in_few_shards(spark):
+    """A group of half the rows fills four of the eight shards, one of 10 % lies in one, small ones too."""
+    text = {i: "hot" if i % 3 else f"t{i}" if i % 10 else "warm" for i in range(3000)}
+    text |= {3000 + i: f"pair{i // 2}" for i in range(600)} | {4000 + i: "tenth" for i in range(400)}
+    df = spark.createDataFrame(list(text.items()), "doc_id long, text string")
+    got = sharding.shard_equal_texts(df).toPandas()
+    got["text"] = got["doc_id"].map(text)
+    n = got.groupby("shard").size()
+    assert n.max() - n.min() <= 1 and len(got) == len(text)
+    spread = got.groupby("text")["shard"].nunique()
+    assert spread["hot"] == 4 and spread["tenth"] == spread["warm"] == 1 and spread.drop("hot").max() == 1
+
+
 def test_token_store(spark, docs, none, tmp_path):
     def encoder():
         codec = chunks.byte_pair_codec(BYTES)
