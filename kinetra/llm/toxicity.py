@@ -33,11 +33,10 @@ _TABLE = 400_000
 
 def features(word: str) -> list[int]:
     """Hashed subword features of a lower-case word: itself, its beginnings, its inner five-grams."""
-    data = word[:64].encode("utf-8", "surrogatepass") if len(word) > 64 else word.encode("utf-8", "surrogatepass")
-    found = {zlib.crc32(data, 1)}
-    found.update(zlib.crc32(word[:n].encode("utf-8", "surrogatepass"), 2) for n in (4, 5, 6) if len(word) >= n)
-    found.update(zlib.crc32(word[i : i + 5].encode("utf-8", "surrogatepass"), 3) for i in range(1, min(len(word), 64) - 4))
-    return [x % PLACES for x in found]
+    found = {zlib.crc32(word.encode("utf-8", "surrogatepass"), 1) % PLACES}
+    found.update(zlib.crc32(word[:n].encode("utf-8", "surrogatepass"), 2) % PLACES for n in (4, 5, 6) if len(word) >= n)
+    found.update(zlib.crc32(word[i : i + 5].encode("utf-8", "surrogatepass"), 3) % PLACES for i in range(1, len(word) - 4))
+    return list(found)
 
 
 @dataclass(frozen=True)

@@ -291,6 +291,17 @@ def test_language(spark, small, none):
     assert langid.predict(none, model, ["doc_id"]).count() == 0
 
 
+def test_toxicity_features_of_long_words():
+    """Runs of letters are read whole, as text without spaces has them."""
+    run = "".join(chr(0x4E00 + i) for i in range(200))
+    bad = "\u6bd2\u8a00\u75c5\u8bed\u6076"
+    assert zlib.crc32(bad.encode(), 3) % toxicity.PLACES in toxicity.features(run + bad)
+    assert toxicity.features(run + "a")[0:] != toxicity.features(run + "b")
+    known = zlib.crc32(bad.encode(), 3) % toxicity.PLACES
+    model = toxicity.ToxicityModel(np.array([known]), np.array([12.0]), -7.0)
+    assert toxicity.sentence_scores(run + bad, model)[0][2] > 0.9 > toxicity.sentence_scores(run, model)[0][2]
+
+
 def test_toxicity(spark, none):
     rng = np.random.default_rng(1)
     data, marks = [], []
