@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import hashlib
 import re
+import struct
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -261,20 +263,93 @@ def test_token_counts(docs, none):
     assert token_counts.token_counts(none, PIECES, ["doc_id"]).count() == 0
 
 
-def test_fingerprints(docs, none):
-    got = imatch.edit_study(docs, least=0.01, most=0.5).toPandas()
-    data = sorted((r for r in rows() if r[0] is not None and r[0] != 400), key=lambda r: -r[0])
+def _signed(x, bits):
+    return x - (1 << bits) if x >> (bits - 1) else x
+
+
+def _xx(value):
+    raw = value.encode() if isinstance(value, str) else struct.pack("<q", value)
+    return _signed(xxhash.xxh64(raw, seed=42).intdigest(), 64)
+
+
+def _murmur(values):
+    """The engine's 32-bit hash of an array of 64-bit integers: each one hashed with the last hash as seed."""
+    full = 0xFFFFFFFF
+
+    def turn(x, r):
+        return ((x << r) | (x >> (32 - r))) & full
+
+    h = 42
+    for v in values:
+        for half in struct.unpack("<II", struct.pack("<q", v)):
+            k = turn(half * 0xCC9E2D51 & full, 15) * 0x1B873593 & full
+            h = (turn(h ^ k, 13) * 5 + 0xE6546B64) & full
+        h ^= 8
+        for mul, shift in ((0x85EBCA6B, 16), (0xC2B2AE35, 13)):
+            h = (h ^ (h >> shift)) * mul & full
+        h ^= h >> 16
+    return _signed(h, 32)
+
+
+def fingerprint_of(text, lexicon):
+    held = {_xx(w) for w in re.split(r"[\x20\x09-\x0D]+", (text or "").lower()) if w}
+    out = []
+    for band in (sorted(held & lexicon), sorted(_xx(t) for t in held)):
+        for c in range(imatch.EACH):
+            own = band
+            for k in range(imatch.BITS):
+                own = [t for t in own if not (t >> (c * imatch.BITS + k)) & 1]
+                if k:
+                    out.append(_murmur(own) % 0xFFFF + 1 if own else 0)
+    return out
+
+
+def likeness_of(a, b):
+    used = [(x, y) for x, y in zip(a, b) if x or y]
+    return sum(x == y for x, y in used) / len(used) if used else 1.0
+
+
+def lexicon_of(texts, least, most):
+    distinct = {t or "" for t in texts}
+    df = Counter(w for t in distinct for w in {_xx(w) for w in re.split(r"[\x20\x09-\x0D]+", t.lower()) if w})
+    return {w for w, c in df.items() if max(2, least * len(distinct)) <= c <= max(2, most * len(distinct))}
+
+
+@pytest.mark.parametrize("bound", [1_000_000, 10])
+def test_fingerprints_equal_plain_python(docs, monkeypatch, bound):
+    monkeypatch.setattr(imatch, "BROADCAST_TERMS", bound)
+    got = imatch.edit_study(docs, least=0.01, most=0.3).toPandas()
+    assert len(got) == len(rows())
+    lexicon = lexicon_of([r[1] for r in rows()], 0.01, 0.3)
+    assert lexicon == {r["term"] for r in imatch.lexicon(docs, "text", least=0.01, most=0.3).collect()} and len(lexicon) > 50
+    order = sorted(rows(), key=lambda r: (r[0] is None, -(r[0] or 0)))  # the rows of id 400 are equal
+    nexts = [*order[1:], order[0]]
     by = got.set_index("doc_id")
-    for a, b in zip(data, data[1:]):
-        x, y = a[1] or "", b[1] or ""
+    for (i, text, *_), (_, after, *_) in zip(order, nexts):
+        if i == 400:  # repeated rows differ in what follows them
+            continue
+        r = by.loc[[None]].iloc[0] if i is None else by.loc[i]
+        x, y = text or "", after or ""
         n = len(x) // 3
-        assert by.loc[a[0], "n_chars"] == len(x)
-        assert by.loc[a[0], "edited_sha256"] == hashlib.sha256((x[: len(x) - n] + y[:n]).encode()).hexdigest()
-    assert len(got) == len(rows()) and got["near_edited"].between(0, 1).all() and got["near_next"].between(0, 1).all()
-    assert all(by.loc[k, "fingerprint"] == by.loc[100 + k, "fingerprint"] for k in range(10))
-    whole = got[got["doc_id"] < 60]
-    assert whole["near_edited"].mean() > whole["near_next"].mean() + 0.05
-    assert imatch.edit_study(none).count() == 0
+        new = x[: len(x) - n] + y[:n]
+        own, edit, then = fingerprint_of(x, lexicon), fingerprint_of(new, lexicon), fingerprint_of(y, lexicon)
+        assert r["n_chars"] == len(x) and r["edited_sha256"] == hashlib.sha256(new.encode()).hexdigest()
+        assert r["fingerprint"] == "".join(f"{h:04x}" for h in own) and r["edited_fingerprint"] == "".join(f"{h:04x}" for h in edit)
+        assert abs(r["near_edited"] - likeness_of(own, edit)) < 1e-9 and abs(r["near_next"] - likeness_of(own, then)) < 1e-9
+
+
+def test_fingerprints_of_copies_and_nothing(spark, docs, none):
+    """A group of copies of half the rows leaves its terms in the band, and its texts alike."""
+    texts = {i: "hot " + " ".join(WORDS[:30]) if i % 2 else " ".join(WORDS[(i * 7) % 370 : (i * 7) % 370 + 30]) for i in range(400)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    terms = {r["term"] for r in imatch.lexicon(df, "text", least=0.002, most=0.2).collect()}
+    assert terms == lexicon_of(texts.values(), 0.002, 0.2) and _xx(WORDS[3]) in terms
+    got = imatch.edit_study(df).toPandas().set_index("doc_id")
+    assert got.loc[[i for i in texts if i % 2], "fingerprint"].nunique() == 1
+    lex = imatch.lexicon(docs, "text", least=0.01, most=0.3)
+    told = imatch.fingerprints(docs, lex, ["doc_id"], "text").collect()
+    assert len(told) == len(rows()) and {r["fingerprint"] for r in told if r["doc_id"] in (300, 301, 302)} == {"0" * (4 * 2 * imatch.EACH * (imatch.BITS - 1))}
+    assert imatch.edit_study(none).count() == 0 and imatch.fingerprints(none, lex, ["doc_id"], "text").count() == 0
 
 
 def test_language(spark, small, none):
