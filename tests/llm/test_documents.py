@@ -187,6 +187,33 @@ def test_sharding_keeps_groups_in_few_shards(spark):
     assert spread["hot"] == 4 and spread["tenth"] == spread["warm"] == 1 and spread.drop("hot").max() == 1
 
 
+def test_propagation_lowers_the_cut_of_a_random_start(spark):
+    """Half of the rows in groups of 2 to 40: every round keeps the law and cuts fewer links, the last none."""
+    text, i = {}, 0
+    for g in range(120):
+        for _ in range(2 + g % 39):
+            text[i] = f"group {g}"
+            i += 1
+    text |= {10_000 + k: f"alone {k}" for k in range(i)}
+    df = spark.createDataFrame(list(text.items()), "doc_id long, text string")
+    found = []
+    for rounds in (0, 1, 64):
+        got = sharding.shard_equal_texts(df, rounds=rounds).join(df, "doc_id")
+        n = got.groupBy("shard").count().toPandas()["count"]
+        assert n.max() - n.min() <= 1 and n.sum() == len(text)
+        found.append(sharding.cut_edges(got, "text"))
+    assert found[0] > 10_000 and found[1] < found[0] / 5 and found[2] == 0
+
+
+def test_propagation_when_every_row_is_linked(spark):
+    """Pairs only: quotas bind in every shard, so some pairs are refused first and settle later."""
+    df = spark.createDataFrame([(i, f"t{i // 2}") for i in range(1600)] + [(None, None)], "doc_id long, text string")
+    got = sharding.shard_equal_texts(df)
+    n = got.groupBy("shard").count().toPandas()["count"]
+    assert n.max() - n.min() <= 1 and n.sum() == 1601
+    assert sharding.cut_edges(got.join(df, "doc_id"), "text") <= 1
+
+
 def test_token_store(spark, docs, none, tmp_path):
     def encoder():
         codec = chunks.byte_pair_codec(BYTES)
