@@ -34,12 +34,28 @@ BUCKET_ROWS = 32
 
 
 def plan_tables(count: int, threshold: float, miss: float, most_tables: int = 512) -> tuple[int, int]:
-    """``(bits, tables)`` for labels of up to ``count`` classes."""
+    """``(bits, tables)`` for labels of up to ``count`` classes.  Where ``most_tables`` would not keep ``miss``,
+    bits are given up: buckets grow and their blocks cost more comparisons, but no pair more is missed."""
     same = 1.0 - math.acos(min(1.0, max(-1.0, threshold))) / math.pi
     bits = max(6, min(30, math.ceil(math.log2(max(2, count / BUCKET_ROWS)))))
-    hit = same**bits
-    tables = 1 if hit >= 1 else math.ceil(math.log(miss) / math.log1p(-hit))
-    return bits, min(most_tables, max(1, tables))
+    while True:
+        hit = same**bits
+        tables = 1 if hit >= 1 else max(1, math.ceil(math.log(miss) / math.log1p(-hit)))
+        if tables <= most_tables or not bits:
+            return bits, tables
+        bits -= 1
+
+
+def _join_up(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Lowers ``root`` to the smallest place that the links ``a``-``b`` and earlier ones reach."""
+    while True:
+        x, y = root[a], root[b]
+        apart = x != y
+        if not apart.any():
+            return
+        np.minimum.at(root, np.maximum(x, y)[apart], np.minimum(x, y)[apart])  # only roots are hooked
+        while not np.array_equal(root, root[root]):
+            root[:] = root[root]
 
 
 def _codes(vectors: np.ndarray, bits: int, tables: int, seed: int) -> np.ndarray:
@@ -61,12 +77,6 @@ def _compare(batches: list[pa.RecordBatch], threshold: float, width: str) -> pa.
     dims = np.array([len(x) for x in raw])
     links, root = np.zeros(len(ids), dtype=np.int64), np.arange(len(ids))
 
-    def top(p: int) -> int:
-        while root[p] != p:
-            root[p] = root[root[p]]
-            p = root[p]
-        return p
-
     for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
         if hi - lo < 2:
             continue
@@ -88,11 +98,11 @@ def _compare(batches: list[pa.RecordBatch], threshold: float, width: str) -> pa.
                     a, b = a[fresh], b[fresh]
                 np.add.at(links, a, copies[b])
                 np.add.at(links, b, copies[a])
-                for p, q in zip(a.tolist(), b.tolist()):
-                    p, q = top(p), top(q)
-                    root[max(p, q)] = min(p, q)
+                own_root = root[lo:hi] - lo
+                _join_up(own_root, a - lo, b - lo)
+                root[lo:hi] = own_root + lo
     hit = np.flatnonzero(links)
-    tops = np.array([top(k) for k in hit.tolist()], dtype=np.int64)
+    tops = root[hit]
     return pa.RecordBatch.from_arrays([pa.array(ids[hit], pa.int64()), pa.array(links[hit], pa.int64()), pa.array(ids[tops] if len(hit) else [], pa.int64())], names=["id", "links", "root"])
 
 

@@ -89,17 +89,25 @@ def _scored(batches: Iterable[pa.RecordBatch], model: LanguageModel, text: str,
         yield pa.RecordBatch.from_arrays([*columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], schema=schema)
 
 
-def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, per_label: int = 256, landmarks: int = 96, bits: int = 15, max_n: int = 3, ridge: float = 1e-2, sharpness: float = 6.0, most_labels: int = 256) -> LanguageModel:
-    """Fits on a bounded sample: about ``per_label`` documents of each of the ``most_labels`` most frequent
-    languages among rows where ``learn`` holds, chosen by a hash of the id.  What reaches the driver is a
-    packed presence map per sampled document (``2**bits / 8`` bytes), never text.
+def _unit_maps(packed: list[bytes]) -> np.ndarray:
+    """Rows of presence maps, scaled to unit norm."""
+    x = np.stack([np.unpackbits(np.frombuffer(m, np.uint8)) for m in packed]).astype(np.float32)
+    return x / np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
+
+
+def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, per_label: int = 256, landmarks: int = 96, bits: int = 15, max_n: int = 3, ridge: float = 1e-2, sharpness: float = 6.0, most_rows: int = 16384) -> LanguageModel:
+    """Fits on a bounded sample of the rows where ``learn`` holds, chosen by a hash of the id: ``per_label``
+    documents of every language, fewer of each if that makes more than ``most_rows`` (one at least, so no
+    language is left out).  What reaches the driver is a packed presence map per sampled document
+    (``2**bits / 8`` bytes), never text; the maps are unpacked a few hundred at a time.
     """
     require(docs, id_col, text_col, lang_col)
     rows = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t"), F.col(lang_col).alias("g")).where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = rows.groupBy("g").count().orderBy(F.desc("count"), "g").limit(most_labels).collect()
+    counts = rows.groupBy("g").count().collect()  # one row per language
     if not counts:
         return LanguageModel((), np.zeros((0, 1 << bits), np.float32), np.zeros((0, 0), np.float32), bits, max_n, sharpness)
-    share = {r["g"]: min(1.0, 1.5 * per_label / r["count"]) for r in counts}
+    per_label = max(1, min(per_label, most_rows // len(counts)))
+    share = {r["g"]: min(1.0, (1.5 * per_label + 8) / r["count"]) for r in counts}
     place = F.pmod(F.xxhash64(F.col("k"), F.lit(11)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     rates = F.create_map(*[x for g, s in share.items() for x in (F.lit(g), F.lit(s))])
     sample = rows.where(place < F.coalesce(rates[F.col("g")], F.lit(0.0))).select("g", "t", place.alias("u"))
@@ -119,13 +127,12 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
     chosen = [(g, m) for g in labels for _, m in sorted(taken[g])[:per_label]]
     if not chosen:
         return LanguageModel((), np.zeros((0, 1 << bits), np.float32), np.zeros((0, 0), np.float32), bits, max_n, sharpness)
-    x = np.stack([np.unpackbits(np.frombuffer(m, np.uint8)) for _, m in chosen]).astype(np.float32)
-    x /= np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
     y = np.where(np.array([[g == c for c in labels] for g, _ in chosen]), 1.0, -1.0)
     each = max(1, landmarks // len(labels))  # landmarks are spread over the languages
-    starts = {g: next(i for i, (c, _) in enumerate(chosen) if c == g) for g in labels}
-    marks = x[[i for g in labels for i in range(starts[g], starts[g] + min(each, len(taken[g]), per_label))]]
-    k_mm, k_nm = (marks @ marks.T).astype(np.float64), (x @ marks.T).astype(np.float64)
+    firsts = {g: i for i, (g, _) in reversed(list(enumerate(chosen)))}
+    marks = _unit_maps([chosen[i][1] for g in labels for i in range(firsts[g], firsts[g] + min(each, len(taken[g]), per_label))])
+    k_mm = (marks @ marks.T).astype(np.float64)
+    k_nm = np.concatenate([_unit_maps([m for _, m in chosen[at : at + 256]]) @ marks.T for at in range(0, len(chosen), 256)]).astype(np.float64)
     values, vectors = np.linalg.eigh(k_mm)
     keep = values > 1e-6 * values.max()
     whiten = vectors[:, keep] / np.sqrt(values[keep])  # Nystroem feature map

@@ -393,6 +393,22 @@ def test_language(spark, small, none):
     assert langid.predict(none, model, ["doc_id"]).count() == 0
 
 
+def test_language_without_a_bound_on_labels(spark):
+    """300 languages, the rarest with three documents to learn from, all of which can be predicted."""
+    rng = np.random.default_rng(8)
+    out = []
+    for g in range(300):
+        own = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 4)) for _ in range(12)]
+        out += [(1000 * g + k, " ".join(rng.choice(own, 40)), f"l{g:03}") for k in range(4 if g % 2 else 9)]
+    out = [*out, *out[:3]]  # repeated rows
+    df = spark.createDataFrame([(*r, "x", 0.5) for r in out], "doc_id long, text string, lang string, lang_pred string, score double")
+    model = langid.fit(df, F.col("doc_id") % 4 != 3, most_rows=1200)
+    assert len(model.labels) == 300
+    told = langid.predict(df.select("doc_id", "text", "lang"), model, ["doc_id", "lang"]).toPandas()
+    held = told[told["doc_id"] % 4 == 3]
+    assert len(told) == len(out) and (held["lang"] == held["lang_pred"]).mean() > 0.95
+
+
 def test_toxicity_features_of_long_words():
     """Runs of letters are read whole, as text without spaces has them."""
     run = "".join(chr(0x4E00 + i) for i in range(200))

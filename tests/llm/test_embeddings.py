@@ -68,3 +68,21 @@ def test_components_of_long_chains_and_hubs(spark):
 def test_tables_follow_the_count():
     few, many = embeddings.plan_tables(1_000, 0.93, 1e-5), embeddings.plan_tables(10_000_000, 0.93, 1e-5)
     assert many[0] > few[0] and many[1] > few[1]
+    for count, threshold in ((10**9, 0.8), (10**12, 0.93)):  # the miss is kept, whatever the bound on tables costs
+        bits, tables = embeddings.plan_tables(count, threshold, 1e-5)
+        same = 1 - math.acos(threshold) / math.pi
+        assert tables <= 512 and (1 - same**bits) ** tables <= 1.0000001e-5
+
+
+def test_joined_places_equal_union_find():
+    rng = np.random.default_rng(4)
+    for _ in range(30):
+        n = 60
+        root, a, b = np.arange(n), rng.integers(0, n, 40), rng.integers(0, n, 40)
+        for half in (slice(0, 20), slice(20, 40)):  # links come in portions
+            embeddings._join_up(root, a[half], b[half])
+        want = list(range(n))
+        for _ in range(n):
+            for p, q in zip(a, b):
+                want[p] = want[q] = min(want[p], want[q])
+        assert root.tolist() == want
