@@ -1,13 +1,17 @@
 """Near-duplicate documents: MinHash signatures in an LSH forest, exact confirmation, components.
 
-Every distinct shingle set gets a signature.  Each of ``trees`` sorted orders reads its own ``depth``
-values of it; documents that share the first ``base`` of them form a region, and regions with more than
-``region_rows`` members are split by longer common prefixes; a longer prefix agrees less often, so members
-of split regions are also keyed in further trees, as many as keep the miss of a pair at the threshold where
-``trees`` at depth ``base`` have it (``trees_at``).  In a region every document is first compared
-with the member that shares most prefixes over all trees (a star, not all pairs).  When these links are
-joined into components, the pairs of a region that still lie in different components and whose sketches
-agree well enough are compared too.  Every link is confirmed on the full sets, in exact integer arithmetic.
+Every distinct shingle set gets a signature.  Each of ``trees`` orders sorts the documents by its own ``depth``
+values of the signature; documents that share the first ``base`` of them form a region of that order.  Depth
+adapts to the region: one with more than ``region_rows`` members is split by longer common prefixes, and as a
+longer prefix agrees less often, its members also enter further orders, as many as keep the miss of a pair at
+the threshold where ``trees`` at depth ``base`` have it (``trees_at``).
+
+Candidates are neighbours in the sorted orders, which share the longest common prefixes: a document is compared
+with the ``NEAR`` ones before it in its region, in the first ``ORDERS`` orders that bring it a like one.  When
+these links are joined into components, the pairs of a region that still lie in different components and whose
+sketches agree well enough are compared too.  A region that is large at full depth is cut into blocks, others
+in each order, for the neighbours, and into salted parts for the pairs, so no task holds it.  Every link is
+confirmed on the full sets, in exact integer arithmetic.
 
 Rules for odd input: equal sets are one class from the start, whatever their number; null text and text
 without words have an empty set and stay alone; fewer words than the width give one shingle; rows with a
@@ -22,6 +26,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kinetra.llm import shingles as S
@@ -32,6 +37,8 @@ from kinetra.llm.graph import components
 BROADCAST_IDS = 1_000_000
 #: MinHash values behind a sketch, two bits of each; they sit in ``SKETCH / 32`` signed 64-bit columns.
 SKETCH = 512
+#: Neighbours before a document that are looked at in a sorted order, and orders that give it candidates.
+NEAR, ORDERS = 2, 3
 _LANES = tuple(f"q{i}" for i in range(SKETCH // 32))
 
 
@@ -115,33 +122,33 @@ def confirm(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, width
     return both.mapInArrow(run, "a long, b long")
 
 
-def _regions(reps: DataFrame, counts: list[int], depth: int, base: int, region_rows: int) -> tuple[DataFrame, DataFrame]:
-    """``(region, id)`` at the base depth, and after splitting large regions by longer prefixes.
+def _regions(reps: DataFrame, counts: list[int], depth: int, base: int, region_rows: int) -> DataFrame:
+    """``(region, size, id, tree, key)``: regions of every order after splitting, with the sort key inside.
 
-    ``counts``: trees at each depth from ``base`` on.  Whoever is in a region to be split enters the trees
-    that are new at the next depth, so a pair that no settled region holds meets all of that depth's trees.
+    ``counts``: orders at each depth from ``base`` on.  Whoever is in a region to be split enters the orders
+    that are new at the next depth, so a pair that no settled region holds meets all of that depth's orders.
     """
 
     def keyed(rows: DataFrame, d: int) -> DataFrame:
-        return rows.select("id", "sig", "tree", F.xxhash64("tree", F.substring("sig", F.col("tree") * (2 * depth) + 1, F.lit(2 * d))).alias("region"))
+        key = F.substring("sig", F.col("tree") * (2 * depth) + 1, F.lit(2 * depth))
+        return rows.select("id", "tree", key.alias("key")).withColumn("region", F.xxhash64("tree", F.substring("key", 1, 2 * d)))
 
-    spread = keyed(reps.select("id", "sig", F.explode(F.sequence(F.lit(0), F.lit(counts[0] - 1))).alias("tree")), base)
-    sizes = spread.groupBy("region").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    first = cut(spread.select("id", "tree", "region").join(sizes, "region").select("region", "size", "id", "tree"))
-    done, pending, d = first.where(F.col("size") <= region_rows).select("region", "id"), first.where(F.col("size") > region_rows), base
+    def shared(rows: DataFrame) -> DataFrame:
+        sizes = rows.groupBy("region").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+        return cut(rows.join(sizes, "region").select("region", "size", "id", "tree", "key"))
+
+    now = shared(keyed(reps.select("id", "sig", F.explode(F.sequence(F.lit(0), F.lit(counts[0] - 1))).alias("tree")), base))
+    done, pending, d = now.where(F.col("size") <= region_rows), now.where(F.col("size") > region_rows), base
     while d < depth and not pending.isEmpty():
         d += 1
         old, now_trees = counts[d - 1 - base], counts[d - base]
         trees = pending.select("id", "tree")
         if now_trees > old:
             trees = trees.union(pending.select("id").distinct().select("id", F.explode(F.sequence(F.lit(old), F.lit(now_trees - 1))).alias("tree")))
-        deeper = keyed(trees.join(reps.select("id", "sig"), "id"), d)
-        sizes = deeper.groupBy("region").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-        now = cut(deeper.select("id", "tree", "region").join(sizes, "region").select("region", "size", "id", "tree"))
-        last = d == depth
-        done = done.union((now if last else now.where(F.col("size") <= region_rows)).select("region", "id"))
+        now = shared(keyed(trees.join(reps.select("id", "sig"), "id"), d))
+        done = done.union(now if d == depth else now.where(F.col("size") <= region_rows))
         pending = now.where(F.col("size") > region_rows)
-    return first, done
+    return done
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 5, num: int = 85, den: int = 100, trees: int = 16, base: int = 4, depth: int = 8, region_rows: int = 512) -> DataFrame:
@@ -154,34 +161,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = all_rows.where("n > 0 and id is not null").groupBy("d1", "d2").agg(F.min(F.struct("id", "n", "sig", *_LANES)).alias("r"))
     reps = cut(classes.select("d1", "d2", "r.*"))
 
-    first, split = _regions(reps.select("id", "sig"), counts, depth, base, region_rows)
-    weight = first.groupBy("id").agg(F.sum("size").alias("w"))
-    info = cut(weight.join(reps.select("id", "n", *_LANES), "id"))
-    members = first.select("region", "id").join(info, "id")
-    hub = members.groupBy("region").agg(F.max(F.struct("w", (-F.col("id")).alias("neg"), F.col("n"), *_LANES)).alias("h")).select("region", "h.*").withColumn("id", -F.col("neg"))
+    split = _regions(reps.select("id", "sig"), counts, depth, base, region_rows)
+    info = cut(split.select("id").distinct().join(reps.select("id", "n", *_LANES), "id"))
     enough = least_agreeing(num, den)
+    parts = F.ceil(F.col("size") / F.lit(float(region_rows))).cast("int")
 
     def alike(a: str, b: str) -> Column:
         long_enough = F.lit(den) * F.least(F.col(f"{a}.n"), F.col(f"{b}.n")) >= F.lit(num) * F.greatest(F.col(f"{a}.n"), F.col(f"{b}.n"))
         return long_enough & (_agreeing(a, b) >= F.lit(enough))
 
-    stars = members.alias("x").join(hub.alias("y"), F.col("x.region") == F.col("y.region")).where((F.col("x.id") != F.col("y.id")) & alike("x", "y"))
-    best = stars.groupBy(F.col("x.id").alias("a")).agg(F.max(F.struct(_agreeing("x", "y").alias("s"), F.col("y.w").alias("w"), F.col("y.neg").alias("neg"))).alias("m"))
-    tried = cut(best.select("a", (-F.col("m.neg")).alias("b")))
+    # sorted orders: the documents just before one share the longest prefixes with it
+    members = split.withColumn("block", F.pmod(F.xxhash64("id", "tree"), parts)).join(info, "id").select("region", "block", "tree", "key", F.struct("id", "n", *_LANES).alias("x"))
+    order = W.partitionBy("region", "block").orderBy("key", "x.id")
+    before = members.select("tree", "x", F.explode(F.filter(F.array(*(F.lag("x", k).over(order) for k in range(1, NEAR + 1))), lambda y: y.isNotNull())).alias("y"))
+    near = before.where(alike("x", "y")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), "tree")
+    best = near.groupBy("a").agg(F.slice(F.array_sort(F.collect_set(F.struct("tree", "b"))), 1, ORDERS).alias("m"))  # two for each order at most
+    best = best.select("a", F.explode(F.array_distinct(F.transform("m", lambda m: m["b"]))).alias("b"))
+    tried = cut(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     links = cut(confirm(tried, docs, id_col, text_col, width, num, den))
     joined = components(links)
 
-    inside = cut(split.join(joined.select(F.col("node").alias("id"), "root"), "id", "left").select("region", "id", F.coalesce("root", "id").alias("root")))
-    parts = inside.groupBy("region", "root").agg(F.count(F.lit(1)).alias("c"))
-    main = parts.groupBy("region").agg(F.max(F.struct("c", "root")).alias("m"), F.count(F.lit(1)).alias("k")).where("k > 1").select("region", F.col("m.root").alias("main"))
+    inside = cut(split.join(joined.select(F.col("node").alias("id"), "root"), "id", "left").select("region", "size", "id", F.coalesce("root", "id").alias("root")))
+    held = inside.groupBy("region", "root").agg(F.count(F.lit(1)).alias("c"))
+    main = held.groupBy("region").agg(F.max(F.struct("c", "root")).alias("m"), F.count(F.lit(1)).alias("k")).where("k > 1").select("region", F.col("m.root").alias("main"))
     places = inside.groupBy("id").agg(F.collect_set("region").alias("places"))  # one for each tree at most
     mixed = cut(inside.join(main, "region").join(info.select("id", "n", *_LANES), "id").join(places, "id"))
     once = F.col("x.region") == F.array_min(F.array_intersect("x.places", "y.places"))
-    minor = mixed.where("root <> main")
-    across = minor.alias("x").join(mixed.alias("y"), (F.col("x.region") == F.col("y.region")) & (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.main")) | (F.col("x.id") < F.col("y.id"))) & alike("x", "y") & once)
+    minor = mixed.where("root <> main").withColumn("salt", F.pmod(F.xxhash64("id"), parts))
+    every = mixed.withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1)))
+    across = minor.alias("x").join(every.alias("y"), (F.col("x.region") == F.col("y.region")) & (F.col("x.salt") == F.col("y.salt")) & (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.main")) | (F.col("x.id") < F.col("y.id"))) & alike("x", "y") & once)
     more = across.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-    seen = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = cut(more.join(seen, ["a", "b"], "left_anti"))
+    more = cut(more.join(tried, ["a", "b"], "left_anti"))
     found = links if more.isEmpty() else links.union(cut(confirm(more, docs, id_col, text_col, width, num, den)))
     roots = components(found)
 
