@@ -173,7 +173,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # sorted orders: the documents just before one share the longest prefixes with it
     members = split.withColumn("block", F.pmod(F.xxhash64("id", "tree"), parts)).join(info, "id").select("region", "block", "tree", "key", F.struct("id", "n", *_LANES).alias("x"))
     order = W.partitionBy("region", "block").orderBy("key", "x.id")
-    before = members.select("tree", "x", F.explode(F.filter(F.array(*(F.lag("x", k).over(order) for k in range(1, NEAR + 1))), lambda y: y.isNotNull())).alias("y"))
+    names = [f"y{k}" for k in range(1, NEAR + 1)]
+    before = members.select("tree", "x", *(F.lag("x", k).over(order).alias(y) for k, y in enumerate(names, 1)))
+    before = before.select("tree", "x", F.explode(F.filter(F.array(*names), lambda y: y.isNotNull())).alias("y"))
     near = before.where(alike("x", "y")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), "tree")
     best = near.groupBy("a").agg(F.slice(F.array_sort(F.collect_set(F.struct("tree", "b"))), 1, ORDERS).alias("m"))  # two for each order at most
     best = best.select("a", F.explode(F.array_distinct(F.transform("m", lambda m: m["b"]))).alias("b"))
