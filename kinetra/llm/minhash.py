@@ -7,10 +7,11 @@ longer prefix agrees less often, its members also enter further orders, as many
 the threshold where ``trees`` at depth ``base`` have it (``trees_at``).
 
 Candidates are neighbours in the sorted orders, which share the longest common prefixes: a document is compared
-with the ``NEAR`` ones before it in its region, in the first ``ORDERS`` orders that bring it a like one.  When
+with the ``NEAR`` ones before it in its region, in the first ``ORDERS`` orders that bring it a like one, and
+with the likest hub, the member of a region that has most prefix neighbours in all orders.  When
 these links are joined into components, the pairs of a region that still lie in different components and whose
 sketches agree well enough are compared too.  A region that is large at full depth is cut into blocks, others
-in each order, for the neighbours, and into salted parts for the pairs, so no task holds it.  Every link is
+in each order, for neighbours and pairs, so no task holds it.  Every link is
 confirmed on the full sets, in exact integer arithmetic.
 
 Rules for odd input: equal sets are one class from the start, whatever their number; null text and text
@@ -123,7 +124,8 @@ def confirm(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, width
 
 
 def _regions(reps: DataFrame, counts: list[int], depth: int, base: int, region_rows: int) -> DataFrame:
-    """``(region, size, id, tree, key)``: regions of every order after splitting, with the sort key inside.
+    """``(region, size, blocks, block, id, tree, key)``: regions of every order after splitting, with the sort
+    key inside; a region that is still large has several blocks, others in each order.
 
     ``counts``: orders at each depth from ``base`` on.  Whoever is in a region to be split enters the orders
     that are new at the next depth, so a pair that no settled region holds meets all of that depth's orders.
@@ -148,7 +150,8 @@ def _regions(reps: DataFrame, counts: list[int], depth: int, base: int, region_r
         now = shared(keyed(trees.join(reps.select("id", "sig"), "id"), d))
         done = done.union(now if d == depth else now.where(F.col("size") <= region_rows))
         pending = now.where(F.col("size") > region_rows)
-    return done
+    blocks = F.ceil(F.col("size") / F.lit(float(region_rows))).cast("int")
+    return done.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id", "tree"), F.col("blocks")).cast("int"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 5, num: int = 85, den: int = 100, trees: int = 16, base: int = 4, depth: int = 8, region_rows: int = 512) -> DataFrame:
@@ -162,36 +165,42 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = cut(classes.select("d1", "d2", "r.*"))
 
     split = _regions(reps.select("id", "sig"), counts, depth, base, region_rows)
-    info = cut(split.select("id").distinct().join(reps.select("id", "n", *_LANES), "id"))
+    weight = split.groupBy("id").agg(F.sum("size").alias("w"))
+    info = cut(weight.join(reps.select("id", "n", *_LANES), "id"))
     enough = least_agreeing(num, den)
-    parts = F.ceil(F.col("size") / F.lit(float(region_rows))).cast("int")
 
-    def alike(a: str, b: str) -> Column:
-        long_enough = F.lit(den) * F.least(F.col(f"{a}.n"), F.col(f"{b}.n")) >= F.lit(num) * F.greatest(F.col(f"{a}.n"), F.col(f"{b}.n"))
-        return long_enough & (_agreeing(a, b) >= F.lit(enough))
+    def long_enough(a: str, b: str) -> Column:
+        return F.lit(den) * F.least(F.col(f"{a}.n"), F.col(f"{b}.n")) >= F.lit(num) * F.greatest(F.col(f"{a}.n"), F.col(f"{b}.n"))
+
+    def in_blocks(rows: DataFrame) -> DataFrame:
+        """Rows of a region, once for each of its blocks."""
+        return rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
 
     # sorted orders: the documents just before one share the longest prefixes with it
-    members = split.withColumn("block", F.pmod(F.xxhash64("id", "tree"), parts)).join(info, "id").select("region", "block", "tree", "key", F.struct("id", "n", *_LANES).alias("x"))
+    members = split.join(info, "id").select("region", "blocks", "block", "tree", "key", F.struct("id", "n", "w", *_LANES).alias("x"))
+    hubs = in_blocks(members.groupBy("region", "blocks").agg(F.max(F.struct("x.w", (-F.col("x.id")).alias("neg"), "x")).alias("h")).select("region", "blocks", F.col("h.x").alias("hub")))
     order = W.partitionBy("region", "block").orderBy("key", "x.id")
     names = [f"y{k}" for k in range(1, NEAR + 1)]
-    before = members.select("tree", "x", *(F.lag("x", k).over(order).alias(y) for k, y in enumerate(names, 1)))
-    before = before.select("tree", "x", F.explode(F.filter(F.array(*names), lambda y: y.isNotNull())).alias("y"))
-    near = before.where(alike("x", "y")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), "tree")
-    best = near.groupBy("a").agg(F.slice(F.array_sort(F.collect_set(F.struct("tree", "b"))), 1, ORDERS).alias("m"))  # two for each order at most
-    best = best.select("a", F.explode(F.array_distinct(F.transform("m", lambda m: m["b"]))).alias("b"))
+    before = members.drop("blocks").join(hubs, ["region", "block"]).select("tree", "x", "hub", *(F.lag("x", k).over(order).alias(y) for k, y in enumerate(names, 1)))
+    told = [F.struct(F.col(f"{y}.id").alias("b"), F.when((F.col("x.id") != F.col(f"{y}.id")) & long_enough("x", y), _agreeing("x", y)).alias("s"), F.col(f"{y}.w").alias("w"), F.lit(y == "hub").alias("star")) for y in (*names, "hub")]
+    pairs = before.select("tree", F.col("x.id").alias("a"), F.explode(F.array(*told)).alias("o")).select("tree", "a", "o.*").where(F.col("s") >= enough)
+    near = F.collect_set(F.when(~F.col("star"), F.struct("tree", "b")))  # ``NEAR`` for each order at most
+    star = F.max(F.when(F.col("star"), F.struct("s", "w", (-F.col("b")).alias("neg"))))
+    best = pairs.groupBy("a").agg(near.alias("near"), star.alias("star"))
+    best = best.select("a", F.explode(F.concat(F.transform(F.slice(F.array_sort("near"), 1, ORDERS), lambda m: m["b"]), F.filter(F.array(-F.col("star.neg")), lambda b: b.isNotNull()))).alias("b"))
     tried = cut(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     links = cut(confirm(tried, docs, id_col, text_col, width, num, den))
     joined = components(links)
 
-    inside = cut(split.join(joined.select(F.col("node").alias("id"), "root"), "id", "left").select("region", "size", "id", F.coalesce("root", "id").alias("root")))
-    held = inside.groupBy("region", "root").agg(F.count(F.lit(1)).alias("c"))
-    main = held.groupBy("region").agg(F.max(F.struct("c", "root")).alias("m"), F.count(F.lit(1)).alias("k")).where("k > 1").select("region", F.col("m.root").alias("main"))
+    inside = cut(split.join(joined.select(F.col("node").alias("id"), "root"), "id", "left").select("region", "blocks", "block", "id", F.coalesce("root", "id").alias("root")))
+    held = inside.groupBy("region", "blocks", "root").agg(F.count(F.lit(1)).alias("c"))
+    main = held.groupBy("region", "blocks").agg(F.max(F.struct("c", "root")).alias("m"), F.count(F.lit(1)).alias("k")).where("k > 1").select("region", "blocks", F.col("m.root").alias("main"))
     places = inside.groupBy("id").agg(F.collect_set("region").alias("places"))  # one for each tree at most
-    mixed = cut(inside.join(main, "region").join(info.select("id", "n", *_LANES), "id").join(places, "id"))
+    mixed = cut(inside.join(in_blocks(main), ["region", "block"]).join(info.select("id", "n", *_LANES), "id").join(places, "id"))
     once = F.col("x.region") == F.array_min(F.array_intersect("x.places", "y.places"))
-    minor = mixed.where("root <> main").withColumn("salt", F.pmod(F.xxhash64("id"), parts))
-    every = mixed.withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1)))
-    across = minor.alias("x").join(every.alias("y"), (F.col("x.region") == F.col("y.region")) & (F.col("x.salt") == F.col("y.salt")) & (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.main")) | (F.col("x.id") < F.col("y.id"))) & alike("x", "y") & once)
+    minor = mixed.where("root <> main")
+    every = in_blocks(mixed.drop("block"))
+    across = minor.alias("x").join(every.alias("y"), (F.col("x.region") == F.col("y.region")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.main")) | (F.col("x.id") < F.col("y.id"))) & long_enough("x", "y") & (_agreeing("x", "y") >= F.lit(enough)) & once)
     more = across.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
     more = cut(more.join(tried, ["a", "b"], "left_anti"))
     found = links if more.isEmpty() else links.union(cut(confirm(more, docs, id_col, text_col, width, num, den)))
