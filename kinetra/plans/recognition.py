@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from kinetra import constants as K
 from kinetra.functions import columns as C
@@ -19,32 +21,44 @@ WINDOW_DDL = "uuid string, timestamp long, `index` int, t_start_s double, t_end_
 SIGNAL_DDL = "uuid string, timestamp long, t array<double>, body array<double>, tilt array<double>, valid_fraction double, coverage_s double, accel_unit string, gaps array<struct<start_s:double,end_s:double>>, flags array<string>"
 
 
-def _arrays(cell) -> tuple[np.ndarray, np.ndarray] | tuple[None, None]:
-    if cell is None or not len(cell):
-        return None, None
-    m = np.array([(s["t"], s["x"], s["y"], s["z"]) for s in cell], dtype=float)
-    return m[:, 0], m[:, 1:]
+def _cells(column: pa.ListArray) -> list[tuple]:
+    """Times and x, y, z of every burst as views of the column's flat values; ``(None, None)`` for none."""
+    values = column.values
+    flat = dict(zip((f.name for f in values.type), values.flatten()))
+    data = np.column_stack([flat[n].to_numpy(zero_copy_only=False).astype(float) for n in "txyz"])
+    edges, known = column.offsets.to_numpy().tolist(), column.is_valid().to_pylist()
+    return [(data[lo:hi, 0], data[lo:hi, 1:]) if ok and hi > lo else (None, None) for lo, hi, ok in zip(edges, edges[1:], known)]
 
 
-def _signal(acc, gyro) -> dict:
-    t, a = _arrays(acc)
-    g_t, g = _arrays(gyro)
-    return N.preprocess(t, a, g_t, g) if t is not None else N.preprocess(np.empty(0), np.empty((0, 3)))
+def _signals(batch: pa.RecordBatch) -> Iterator[tuple[str, int, dict]]:
+    for u, ts, (t, a), (g_t, g) in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _cells(batch.column(2)), _cells(batch.column(3))):
+        yield u, ts, N.preprocess(t, a, g_t, g) if t is not None else N.preprocess(np.empty(0), np.empty((0, 3)))
+
+
+def _batch(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r.get(f.name) for r in rows], f.type, from_pandas=True) for f in schema], schema=schema)
+
+
+def _arrow(ddl: str) -> pa.Schema:
+    return to_arrow_schema(StructType.fromDDL(ddl))
 
 
 def preprocess(bursts: DataFrame) -> DataFrame:
     """K13 for every burst ``(uuid, timestamp, acc, gyro)``: no shuffle."""
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    schema = _arrow(SIGNAL_DDL)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             out = []
-            for u, ts, a, g in zip(pdf["uuid"], pdf["timestamp"], pdf["acc"], pdf["gyro"]):
-                s = _signal(a, g)
+            for u, ts, s in _signals(batch):
                 body = np.linalg.norm(s["body"], axis=1) if len(s["t"]) else np.empty(0)
-                out.append((u, ts, s["t"].tolist(), body.tolist(), N.tilt_deg(s["gravity"]).tolist() if len(s["t"]) else [], s["valid_fraction"], s["coverage_s"], s["unit"], [{"start_s": x, "end_s": y} for x, y in s["gaps"]], s["flags"]))
-            yield pd.DataFrame(out, columns=["uuid", "timestamp", "t", "body", "tilt", "valid_fraction", "coverage_s", "accel_unit", "gaps", "flags"])
+                tilt = N.tilt_deg(s["gravity"]).tolist() if len(s["t"]) else []
+                gaps = [{"start_s": x, "end_s": y} for x, y in s["gaps"]]
+                out.append({"uuid": u, "timestamp": ts, "t": s["t"].tolist(), "body": body.tolist(), "tilt": tilt, "valid_fraction": s["valid_fraction"], "coverage_s": s["coverage_s"], "accel_unit": s["unit"], "gaps": gaps, "flags": s["flags"]})
+            yield _batch(out, schema)
 
-    return bursts.select("uuid", "timestamp", "acc", "gyro").mapInPandas(run, SIGNAL_DDL)
+    return bursts.select("uuid", "timestamp", "acc", "gyro").mapInArrow(run, SIGNAL_DDL)
 
 
 def windows(bursts: DataFrame, size_s: float = K.WINDOW_S, overlap: float = K.OVERLAP, signals: bool = False) -> DataFrame:
@@ -53,11 +67,13 @@ def windows(bursts: DataFrame, size_s: float = K.WINDOW_S, overlap: float = K.OV
     size = int(round(size_s * K.TARGET_HZ))
     hop = max(1, int(round(size * (1 - overlap))))
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    ddl = WINDOW_DDL + (", sig_t array<double>, sig_body array<double>" if signals else "")
+    schema = _arrow(ddl)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             out = []
-            for u, ts, a, g in zip(pdf["uuid"], pdf["timestamp"], pdf["acc"], pdf["gyro"]):
-                s = _signal(a, g)
+            for u, ts, s in _signals(batch):
                 extra = {"unit_ambiguous"} & set(s["flags"])
                 for i, lo in enumerate(range(0, len(s["t"]) - size + 1, hop)):
                     f = N.window_features(s, lo, lo + size)
@@ -67,13 +83,9 @@ def windows(bursts: DataFrame, size_s: float = K.WINDOW_S, overlap: float = K.OV
                         row |= {"sig_t": s["t"].tolist(), "sig_body": np.linalg.norm(s["body"], axis=1).tolist()}
                     before = usable
                     out.append(row)
-            names = ["uuid", "timestamp", "index", "t_start_s", "t_end_s", *_FEATURES, "cadence_peaks", "has_gyro", "flags", *(["sig_t", "sig_body"] if signals else [])]
-            frame = pd.DataFrame(out, columns=names)
-            for c in ("sig_t", "sig_body") if signals else ():
-                frame[c] = [x if isinstance(x, list) else None for x in frame[c]]
-            yield frame
+            yield _batch(out, schema)
 
-    return bursts.select("uuid", "timestamp", "acc", "gyro").mapInPandas(run, WINDOW_DDL + (", sig_t array<double>, sig_body array<double>" if signals else ""))
+    return bursts.select("uuid", "timestamp", "acc", "gyro").mapInArrow(run, ddl)
 
 
 def feature_columns(placement: Column | None = None, placeholder: bool = False) -> dict[str, Column]:
@@ -115,6 +127,10 @@ def synthetic_bursts(events: DataFrame, n_samples: int = 400, hz: float = 40.0)
     event, with a stepping motion whose strength and pace follow the day's values and number of events."""
     sec = F.col("ts").cast("timestamp").cast("double")
     days = events.groupBy(F.col("user_id").cast("string").alias("uuid"), F.to_date("ts").alias("day")).agg(F.min(sec).alias("first"), F.avg("value").alias("m"), F.count(F.lit(1)).alias("n"), F.sum((F.col("event_type") == "error").cast("int")).alias("e"))
+    # dealt before the signals are made: the grouped rows are small enough for one partition, their signals are not
+    spark = events.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    days = days.repartition(parts, "uuid", "day")
     t = F.sequence(F.lit(0), F.lit(n_samples - 1))
     amp = F.pmod(F.coalesce("m", F.lit(0.0)) / 40.0, F.lit(0.6))
     step = 1.0 + F.pmod(F.col("n"), F.lit(4)) * 0.5
