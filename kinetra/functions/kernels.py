@@ -170,6 +170,9 @@ def preprocess(t: np.ndarray, acc: np.ndarray, gyro_t: np.ndarray | None = None,
 def find_peaks(x: np.ndarray, prominence: float, distance: int) -> np.ndarray:
     """Local maxima (middles of plateaus), thinned by distance from the highest, then by prominence."""
     n, peaks, i = len(x), [], 1
+    rise = np.diff(x)
+    if (rise != 0).all():  # no plateaus
+        peaks, i = np.flatnonzero((rise[:-1] > 0) & (rise[1:] < 0)) + 1, n
     while i < n - 1:
         if x[i - 1] < x[i]:
             j = i
@@ -245,7 +248,7 @@ def periodicity(v: np.ndarray, hz: float) -> float:
     lo, hi = int(hz / 5), min(int(hz / 0.5), len(v) - 1)
     if power < 1e-12 or hi <= lo:
         return 0.0
-    return float(max(v[:-k] @ v[k:] for k in range(lo, hi)) / power)
+    return float(np.correlate(v, v, "full")[len(v) - 1 + lo : len(v) - 1 + hi].max() / power)
 
 
 def autocorr_cadence(v: np.ndarray, hz: float) -> float:
@@ -256,7 +259,7 @@ def autocorr_cadence(v: np.ndarray, hz: float) -> float:
     v = zero_phase(v[:, None], K.LOWPASS_HZ, hz)[:, 0] if len(v) > 9 else v
     v = v - v.mean()
     lo, hi = int(np.floor(0.2 * hz)), min(int(np.ceil(2 * hz)), len(v) - 1)
-    r = np.array([v[:-k] @ v[k:] for k in range(lo, hi + 1)])
+    r = np.correlate(v, v, "full")[len(v) - 1 + lo : len(v) + hi]
     return float("nan") if not len(r) or r.max() <= 0 else 60 * hz / (lo + int(r.argmax()))
 
 

@@ -55,25 +55,39 @@ def physics_events(sig: DataFrame) -> DataFrame:
     return hit.select("segment_id", "t_start", "t_end", F.lit("physics_rule").alias("method"), score.alias("score"), "trigger_jerk_energy", F.col("tilt_deg_mean").alias("trigger_tilt_deg_mean"), F.col("tilt_deg_std").alias("trigger_tilt_deg_std"))
 
 
-def forest_events(sig: DataFrame, sample: DataFrame, contamination: float = 0.05, borderline: float = 0.05, trees: int = 100, seed: int = 42, most: int = 100_000) -> DataFrame:
-    """Isolation forest over the eight signature features; ``sample`` is fitted on the driver and bounded
-    by ``most`` rows, the scan is scored by partitions."""
+FOREST_FEATURES = ["jerk_energy", "sma", "tilt_deg_mean", "tilt_deg_std", "cadence_bpm_peaks", "gyro_rms_x", "gyro_rms_y", "gyro_rms_z"]
+
+
+def forest_events(sig: DataFrame, contamination: float = 0.05, borderline: float = 0.05, trees: int = 100, size: int = 256, seed: int = 42) -> DataFrame:
+    """Isolation forest over the eight signature features.
+
+    Unmeasured features take the median of all rows.  The trees are grown on the driver from a bounded draw,
+    the ``trees * size`` rows of smallest hash among those that the rule does not flag, which reruns repeat;
+    every row is scored, and the cut is the ``1 - contamination`` quantile of all scores.
+    """
     import numpy as np
 
     from kinetra.functions.kernels import isolation_forest
 
-    names = ["tilt_deg_mean", "tilt_deg_std", "sma", "cadence_bpm_peaks", "gyro_rms_x", "gyro_rms_y", "gyro_rms_z", "duration_s"]
-    train = sample.select(*[F.col(n).cast("double") for n in names]).limit(most).toPandas().to_numpy(dtype=float)
-    score = isolation_forest(train, trees, 256, seed)
-    cut = float(np.quantile(score(train), 1 - contamination))
+    names = FOREST_FEATURES
+    told = sig.withColumn("jerk_energy", jerk_energy(F.col("sma"), F.col("gyro_rms_x"), F.col("gyro_rms_y"), F.col("gyro_rms_z")))
+    told = told.select("segment_id", "t_start", "t_end", *(F.when(C.finite(F.col(n).cast("double")), F.col(n).cast("double")).alias(n) for n in names))
+    medians = told.agg(*(F.percentile_approx(n, 0.5, 10_000).alias(n) for n in names)).first()
+    filled = told.select("segment_id", "t_start", "t_end", *(F.coalesce(n, F.lit(medians[n]), F.lit(0.0)).alias(n) for n in names))
+    calm = filled.join(physics_events(sig).select("segment_id"), "segment_id", "left_anti")
+    draw = calm.orderBy(F.xxhash64("segment_id", F.lit(seed)), "segment_id").limit(trees * size)
+    train = draw.select(*names).toPandas().to_numpy(dtype=float)
+    score = isolation_forest(train, trees, size, seed) if len(train) else None
 
     def run(batches):
         for pdf in batches:
-            s = score(pdf[names].to_numpy(dtype=float)) if len(pdf) else np.zeros(0)
-            out = pdf[["segment_id", "t_start", "t_end"]].assign(method="isolation_forest", score=s - cut, borderline=np.abs(s - cut) < borderline)
-            yield out[s >= cut]
+            s = score(pdf[names].to_numpy(dtype=float)) if score and len(pdf) else np.zeros(len(pdf))
+            yield pdf[["segment_id", "t_start", "t_end"]].assign(score=s)
 
-    return sig.mapInPandas(run, "segment_id string, t_start double, t_end double, method string, score double, borderline boolean")
+    scored = filled.withColumn("segment_id", F.col("segment_id").cast("string")).mapInPandas(run, "segment_id string, t_start double, t_end double, score double")
+    cut = scored.agg(F.percentile_approx("score", 1 - contamination, 10_000)).first()[0] if score else 1.0
+    over = F.col("score") - F.lit(cut)
+    return scored.where(over >= 0).select("segment_id", "t_start", "t_end", F.lit("isolation_forest").alias("method"), over.alias("score"), (F.abs(over) < borderline).alias("borderline"))
 
 
 def detect_events(sig: DataFrame, fallback: DataFrame | None = None) -> DataFrame:

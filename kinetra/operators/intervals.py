@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -51,7 +53,9 @@ def coverage(queries: DataFrame, samples: DataFrame, keys: list[str], width: flo
     points = samples.withColumn("__bin", F.floor(F.col("t") / width)).select(*keys, "__bin", "t", "ok")
     hits = binned.join(points, [*keys, "__bin"]).where("t >= q0 and t < q1")
     found = hits.groupBy(*queries.columns).agg(F.avg(F.col("ok").cast("double")).alias("coverage"))
-    return queries.join(found, queries.columns, "left").withColumn("coverage", F.coalesce("coverage", F.lit(0.0)))
+    same = [F.col(f"q.`{c}`").eqNullSafe(F.col(f"f.`{c}`")) for c in queries.columns]  # a null column is no reason to lose coverage
+    both = queries.alias("q").join(found.alias("f"), reduce(lambda a, b: a & b, same), "left")
+    return both.select(*(F.col(f"q.`{c}`").alias(c) for c in queries.columns), F.coalesce("f.coverage", F.lit(0.0)).alias("coverage"))
 
 
 def coverage_scalar(coverage_s: Column, q0: Column, q1: Column) -> Column:

@@ -40,11 +40,11 @@ def collapse_standing(c: Column) -> Column:
 
 
 def grid_min(rows: DataFrame, grid: list[float], loss) -> DataFrame:
-    """The first grid value of least mean loss; the grid's values are exploded beside each row, and
-    sums are combined before the shuffle."""
-    spread = rows.withColumn("value", F.explode(F.array(*[F.lit(float(g)) for g in grid])))
-    means = spread.groupBy("value").agg(F.avg(loss(F.col("value"))).alias("loss"))
-    return means.agg(F.min(F.struct("loss", "value")).alias("m")).select(F.col("m.value").alias("value"), F.col("m.loss").alias("loss"))
+    """The first grid value of least mean loss: one average for each value in a single aggregate, so
+    rows are neither multiplied nor shuffled.  Both columns are null without rows."""
+    means = rows.agg(F.array(*[F.struct(F.avg(loss(F.lit(float(g)))).alias("loss"), F.lit(float(g)).alias("value")) for g in grid]).alias("all"))
+    best = means.select(F.array_min(F.filter("all", lambda x: x["loss"].isNotNull())).alias("m"))
+    return best.select(F.col("m.value").alias("value"), F.col("m.loss").alias("loss"))
 
 
 def fit_alpha(rows: DataFrame, ml: Column, physics: Column) -> DataFrame:

@@ -13,9 +13,11 @@ def last_wins(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFram
     return best.select(*keys, "__r.*").select(*rows.columns)
 
 
-def upsert(existing: DataFrame, new: DataFrame, key: str, sequence: str | None = None) -> DataFrame:
-    """SK2: rows of ``new`` replace those of equal key; among several new ones the highest ``sequence`` wins."""
-    fresh = last_wins(new, [key], [F.col(sequence)]) if sequence else new.dropDuplicates([key])
+def upsert(existing: DataFrame, new: DataFrame, key: str, *order: str) -> DataFrame:
+    """SK2: rows of ``new`` replace those of equal key; among several new ones the last by ``order`` wins, or,
+    without it, by all their other columns from left to right (never a random one)."""
+    by = order or tuple(c for c in new.columns if c != key)
+    fresh = last_wins(new, [key], [F.col(c) for c in by]) if by else new.distinct()
     return existing.join(fresh.select(key), key, "left_anti").unionByName(fresh)
 
 
@@ -35,7 +37,7 @@ def upsert_anomalies(existing: DataFrame, events: DataFrame, timeline: DataFrame
     new = anomaly_rows(events)
     if not orphans(new, timeline, "segment_id").isEmpty():
         raise ValueError("an event names a segment that the timeline does not have")
-    return upsert(existing, new, "event_id")
+    return upsert(existing, new, "event_id", *(c for c in ("t_start", "t_end", "score") if c in new.columns))
 
 
 def timeline_rows(segments: DataFrame) -> DataFrame:

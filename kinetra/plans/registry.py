@@ -221,13 +221,13 @@ def nearest_covered_probe(spark, d):
 
 
 def _vectors(spark, d):
-    e = table(spark, d, "embeddings").select("vec_id", F.slice(F.col("embedding").cast("array<double>"), 1, 9).alias("v"))
+    e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
     return e.where("vec_id >= 25"), e.where("vec_id < 25").withColumnRenamed("vec_id", "exemplar_id")
 
 
 def _knn_sql(metric: str) -> str:
     score = "greatest(0.0, 1.0 - sum(zq*zb)/(CASE WHEN sqrt(sum(zq*zq)) = 0 THEN 1 ELSE sqrt(sum(zq*zq)) END * CASE WHEN sqrt(sum(zb*zb)) = 0 THEN 1 ELSE sqrt(sum(zb*zb)) END))" if metric == "cosine" else "sqrt(sum((zq-zb)*(zq-zb)))"
-    return f"""WITH e AS (SELECT vec_id, i, embedding[i]::DOUBLE AS x FROM embeddings, (SELECT unnest(range(1, 10)) AS i)), st AS (SELECT i, avg(x) AS m, CASE WHEN stddev_pop(x) = 0 THEN 1 ELSE stddev_pop(x) END AS s FROM e WHERE vec_id < 25 GROUP BY i),
+    return f"""WITH e AS (SELECT vec_id, i, embedding[i]::DOUBLE AS x FROM embeddings, (SELECT unnest(range(1, 65)) AS i)), st AS (SELECT i, avg(x) AS m, CASE WHEN stddev_pop(x) = 0 THEN 1 ELSE stddev_pop(x) END AS s FROM e WHERE vec_id < 25 GROUP BY i),
 z AS (SELECT vec_id, e.i, (x - m)/s AS z FROM e JOIN st ON e.i = st.i), dd AS (SELECT q.vec_id, b.vec_id AS exemplar_id, round({score.replace("zq", "q.z").replace("zb", "b.z")}, 9) AS distance FROM z q JOIN z b ON q.i = b.i WHERE q.vec_id >= 25 AND b.vec_id < 25 GROUP BY ALL)
 SELECT vec_id, exemplar_id, round(distance, 6) AS distance, r::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY distance, exemplar_id) AS r FROM dd) WHERE r <= 3"""
 
@@ -244,7 +244,7 @@ def knn_euclidean(spark, d):
     return analytics.nearest(q, b, 3, query_id="vec_id", bank_id="exemplar_id", vector="v", metric="euclidean").withColumn("distance", r6("distance"))
 
 
-@query("SELECT (i - 1)::INT AS pos, round(avg(embedding[i]::DOUBLE), 6) AS mean, round(CASE WHEN stddev_pop(embedding[i]::DOUBLE) = 0 THEN 1 ELSE stddev_pop(embedding[i]::DOUBLE) END, 6) AS std FROM embeddings, (SELECT unnest(range(1, 10)) AS i) WHERE vec_id < 25 GROUP BY i")
+@query("SELECT (i - 1)::INT AS pos, round(avg(embedding[i]::DOUBLE), 6) AS mean, round(CASE WHEN stddev_pop(embedding[i]::DOUBLE) = 0 THEN 1 ELSE stddev_pop(embedding[i]::DOUBLE) END, 6) AS std FROM embeddings, (SELECT unnest(range(1, 65)) AS i) WHERE vec_id < 25 GROUP BY i")
 def bank_stats(spark, d):
     return analytics.bank_stats(_vectors(spark, d)[1], "v").select("pos", r6("mean").alias("mean"), r6("std").alias("std"))
 
@@ -558,5 +558,4 @@ def burst_windows(spark, d):
 @query()
 def forest_events(spark, d):
     s = _signature(spark, d).withColumn("cadence_bpm_peaks", F.lit(0.0))
-    train = s.where(F.pmod(F.xxhash64("segment_id"), F.lit(16)) == 0)  # a bounded sample fits the forest; all rows are scored
-    return analytics.forest_events(s.withColumn("segment_id", F.col("segment_id").cast("string")), train)
+    return analytics.forest_events(s)

@@ -111,6 +111,8 @@ def test_store(spark, tmp_path):
     new = spark.createDataFrame([("b", 3.0, 1), ("b", 4.0, 2), ("c", 5.0, 1)], "k string, v double, seq int")
     out = store.upsert(old.withColumn("seq", F.lit(0)), new, "k", "seq")
     assert {r["k"]: r["v"] for r in out.collect()} == {"a": 1.0, "b": 4.0, "c": 5.0}
+    for some in (new, new.orderBy("v"), new.repartition(3)):  # without an order the row is still not a random one
+        assert {r["k"]: r["v"] for r in store.upsert(old, some.select("k", "v"), "k").collect()} == {"a": 1.0, "b": 4.0, "c": 5.0}
     path = f"file://{tmp_path}/t"
     sinks.replace(old, path)
     sinks.replace(store.upsert(spark.read.parquet(path), new.select("k", "v").where("v = 5"), "k"), path)
@@ -232,3 +234,20 @@ def test_streaming_equals_batch(spark, small):
         assert spark.table("w1").count() == batch.count()
     finally:
         q.stop()
+
+
+def test_coverage_of_rows_with_nulls(spark):
+    q = spark.createDataFrame([("u", None, 0.0, 10.0), ("u", "x", 5.0, 15.0), (None, "x", 0.0, 10.0)], "uuid string, note string, q0 double, q1 double")
+    s = spark.createDataFrame([("u", float(t), t < 8) for t in range(20)], "uuid string, t double, ok boolean")
+    got = {(r["uuid"], r["note"]): r["coverage"] for r in intervals.coverage(q, s, ["uuid"]).collect()}
+    assert got == {("u", None): 0.8, ("u", "x"): 0.3, (None, "x"): 0.0}
+
+
+def test_forest_learns_from_all_calm_rows(spark):
+    rows = [(f"s{i}", float(i), i + 5.0, 5.0, 0.1 + 0.001 * (i % 7), 10.0 + i % 5, 1.0, 100.0, 0.1, 0.1, None if i % 9 else 0.1) for i in range(300)]
+    rows += [(f"odd{i}", 900.0 + i, 905.0 + i, 5.0, 9.0, 170.0, 60.0, 5.0, 9.0, 9.0, 9.0) for i in range(6)]
+    df = spark.createDataFrame(rows, "segment_id string, t_start double, t_end double, duration_s double, sma double, tilt_deg_mean double, tilt_deg_std double, cadence_bpm_peaks double, gyro_rms_x double, gyro_rms_y double, gyro_rms_z double")
+    got, again = (analytics.forest_events(x).toPandas().sort_values("segment_id") for x in (df, df.repartition(5)))
+    assert {f"odd{i}" for i in range(6)} <= set(got["segment_id"]) and len(got) < 60
+    assert got["segment_id"].tolist() == again["segment_id"].tolist() and (got["score"].to_numpy() == again["score"].to_numpy()).all()
+    assert analytics.forest_events(df.limit(0)).count() == 0
