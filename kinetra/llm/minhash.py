@@ -177,7 +177,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
 
     # sorted orders: the documents just before one share the longest prefixes with it
-    members = split.join(info, "id").select("region", "blocks", "block", "tree", "key", F.struct("id", "n", "w", *_LANES).alias("x"))
+    # the further orders of split regions are for the pairs below, these rows would only repeat there
+    members = split.where(F.col("tree") < trees).join(info, "id").select("region", "blocks", "block", "tree", "key", F.struct("id", "n", "w", *_LANES).alias("x"))
     hubs = in_blocks(members.groupBy("region", "blocks").agg(F.max(F.struct("x.w", (-F.col("x.id")).alias("neg"), "x")).alias("h")).select("region", "blocks", F.col("h.x").alias("hub")))
     order = W.partitionBy("region", "block").orderBy("key", "x.id")
     names = [f"y{k}" for k in range(1, NEAR + 1)]
