@@ -97,11 +97,15 @@ def trees_at(depth: int, num: int, den: int, trees: int, base: int) -> int:
     return trees if depth <= base or j >= 1 else min(SKETCH // depth, math.ceil(trees * math.log1p(-(j**base)) / math.log1p(-(j**depth)) - 1e-9))
 
 
+def _only(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose id is among ``ids``, a written table; broadcast where its counted size allows."""
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
+
+
 def confirm(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, num: int, den: int) -> DataFrame:
     """The pairs ``(a, b)`` whose full sets satisfy ``den * intersection >= num * union``."""
     ids = cut(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
-    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).join(wanted, "id", "left_semi").dropDuplicates(["id"])
+    texts = _only(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")), ids).dropDuplicates(["id"])
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b").select("a", "b", "ta", "tb")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,13 +145,16 @@ def _regions(reps: DataFrame, counts: list[int], depth: int, base: int, region_r
 
     now = shared(keyed(reps.select("id", "sig", F.explode(F.sequence(F.lit(0), F.lit(counts[0] - 1))).alias("tree")), base))
     done, pending, d = now.where(F.col("size") <= region_rows), now.where(F.col("size") > region_rows), base
+    # only the members of regions to be split go deeper, so only their signatures are looked up there
+    deep = _only(reps.select("id", "sig"), cut(pending.select("id").distinct()))
     while d < depth and not pending.isEmpty():
+        deep = cut(deep) if d == base else deep
         d += 1
         old, now_trees = counts[d - 1 - base], counts[d - base]
         trees = pending.select("id", "tree")
         if now_trees > old:
             trees = trees.union(pending.select("id").distinct().select("id", F.explode(F.sequence(F.lit(old), F.lit(now_trees - 1))).alias("tree")))
-        now = shared(keyed(trees.join(reps.select("id", "sig"), "id"), d))
+        now = shared(keyed(trees.join(deep, "id"), d))
         done = done.union(now if d == depth else now.where(F.col("size") <= region_rows))
         pending = now.where(F.col("size") > region_rows)
     blocks = F.ceil(F.col("size") / F.lit(float(region_rows))).cast("int")
