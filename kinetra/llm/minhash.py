@@ -22,7 +22,7 @@ null id stay alone and kept; repeated ids count as the same document; other colu
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -127,12 +127,13 @@ def confirm(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, width
     return both.mapInArrow(run, "a long, b long")
 
 
-def _regions(reps: DataFrame, counts: list[int], depth: int, base: int, region_rows: int) -> DataFrame:
+def _regions(reps: DataFrame, longer: Callable[[DataFrame], DataFrame], counts: list[int], depth: int, base: int, region_rows: int) -> DataFrame:
     """``(region, size, blocks, block, id, tree, key)``: regions of every order after splitting, with the sort
     key inside; a region that is still large has several blocks, others in each order.
 
     ``counts``: orders at each depth from ``base`` on.  Whoever is in a region to be split enters the orders
     that are new at the next depth, so a pair that no settled region holds meets all of that depth's orders.
+    Signatures in ``reps`` reach as far as the first orders; ``longer`` gives those of a table of ids whole.
     """
 
     def keyed(rows: DataFrame, d: int) -> DataFrame:
@@ -145,10 +146,9 @@ def _regions(reps: DataFrame, counts: list[int], depth: int, base: int, region_r
 
     now = shared(keyed(reps.select("id", "sig", F.explode(F.sequence(F.lit(0), F.lit(counts[0] - 1))).alias("tree")), base))
     done, pending, d = now.where(F.col("size") <= region_rows), now.where(F.col("size") > region_rows), base
-    # only the members of regions to be split go deeper, so only their signatures are looked up there
-    deep = _only(reps.select("id", "sig"), cut(pending.select("id").distinct()))
     while d < depth and not pending.isEmpty():
-        deep = cut(deep) if d == base else deep
+        if d == base:
+            deep = cut(longer(cut(pending.select("id").distinct())))
         d += 1
         old, now_trees = counts[d - 1 - base], counts[d - base]
         trees = pending.select("id", "tree")
@@ -167,11 +167,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if trees * depth > SKETCH:
         raise ValueError(f"trees * depth must not exceed {SKETCH}")
     counts = [trees_at(d, num, den, trees, base) for d in range(base, depth + 1)]
-    all_rows = cut(signatures(docs, id_col, text_col, width, max(counts) * depth))
+    all_rows = cut(signatures(docs, id_col, text_col, width, trees * depth))
     classes = all_rows.where("n > 0 and id is not null").groupBy("d1", "d2").agg(F.min(F.struct("id", "n", "sig", *_LANES)).alias("r"))
     reps = cut(classes.select("d1", "d2", "r.*"))
 
-    split = _regions(reps.select("id", "sig"), counts, depth, base, region_rows)
+    def longer(ids: DataFrame) -> DataFrame:
+        texts = _only(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")), ids)
+        return signatures(texts, "id", "t", width, max(counts) * depth).where("n > 0").select("id", "sig").distinct()
+
+    split = _regions(reps.select("id", "sig"), longer, counts, depth, base, region_rows)
     weight = split.groupBy("id").agg(F.sum("size").alias("w"))
     info = cut(weight.join(reps.select("id", "n", *_LANES), "id"))
     enough = least_agreeing(num, den)
