@@ -28,14 +28,15 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         if not mark[0]:
             break
-        if mark[0] <= TASK_EDGES:
-            now = now.coalesce(1)
+        small = mark[0] <= TASK_EDGES
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = both.coalesce(1) if small else both
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         moved = large.join(least, "a").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")).where("a <> b")
-        now = cut(moved.union(least.select("a", F.col("m").alias("b"))).distinct())
+        moved = moved.union(least.select("a", F.col("m").alias("b")))
+        now = cut((moved.coalesce(1) if small else moved).distinct())
         then, mark = mark, _fingerprint(now)
         if then == mark:
             break

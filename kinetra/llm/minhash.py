@@ -157,6 +157,7 @@ def _regions(reps: DataFrame, longer: Callable[[DataFrame], DataFrame], counts:
         now = shared(keyed(trees.join(deep, "id"), d))
         done = done.union(now if d == depth else now.where(F.col("size") <= region_rows))
         pending = now.where(F.col("size") > region_rows)
+    done = done.coalesce(int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # the levels' parts add up
     blocks = F.ceil(F.col("size") / F.lit(float(region_rows))).cast("int")
     return done.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id", "tree"), F.col("blocks")).cast("int"))
 
