@@ -251,16 +251,40 @@ def periodicity(v: np.ndarray, hz: float) -> float:
     return float(np.correlate(v, v, "full")[len(v) - 1 + lo : len(v) - 1 + hi].max() / power)
 
 
-def autocorr_cadence(v: np.ndarray, hz: float) -> float:
-    """A4: cadence per minute by the best lag between 0.2 and 2 s; NaN below 2 s of signal."""
+def autocorr_cadence(v: np.ndarray, hz: float, sma: float) -> tuple[float, str | None]:
+    """A4: cadence per minute by the best lag between 0.2 and 2 s, and the reason where there is none: NaN below
+    2 s of signal or without a positive lag, 0 in a quiet one."""
     v = v[np.isfinite(v)]
-    if len(v) < 2 * hz:
-        return float("nan")
-    v = zero_phase(v[:, None], K.LOWPASS_HZ, hz)[:, 0] if len(v) > 9 else v
-    v = v - v.mean()
-    lo, hi = int(np.floor(0.2 * hz)), min(int(np.ceil(2 * hz)), len(v) - 1)
-    r = np.correlate(v, v, "full")[len(v) - 1 + lo : len(v) + hi]
-    return float("nan") if not len(r) or r.max() <= 0 else 60 * hz / (lo + int(r.argmax()))
+    if len(v) < int(2 * hz):
+        return float("nan"), "autocorr_insufficient"
+    if not sma >= K.QUIET_SMA:
+        return 0.0, "too_quiet_for_cadence"
+    v = _both_ways((v - v.mean())[:, None], min(K.LOWPASS_HZ, 0.45 * hz), hz, 9)[:, 0]
+    r = np.correlate(v, v, "full")[len(v) - 1 :]
+    if r[0] <= 0:
+        return float("nan"), "autocorr_insufficient"
+    lo, hi = max(1, int(np.floor(hz / K.CADENCE_HI_HZ))), min(len(v) - 1, int(np.ceil(hz / K.CADENCE_LO_HZ)))
+    best = lo + int(r[lo : hi + 1].argmax()) if lo < hi else 0
+    return (60 * hz / best, None) if best and r[best] > 0 else (float("nan"), "cadence_not_found")
+
+
+def slice_sums(sig: dict, lo: float, hi: float) -> dict:
+    """A1-A5 of the samples of a burst in ``[lo, hi]`` (seconds from its start), as sums that add up over bursts:
+    counts, mean and squared deviations of the tilt, motion, squares by rotation axis; and its cadence."""
+    inside = (sig["t"] >= lo - 1e-9) & (sig["t"] <= hi + 1e-9)
+    body, grav = sig["body"][inside], sig["gravity"][inside]
+    tilt = tilt_deg(grav)[np.linalg.norm(grav, axis=1) > 1e-9] if len(grav) else np.empty(0)
+    tilt = tilt[np.isfinite(tilt)]
+    size = np.linalg.norm(body, axis=1)
+    size = size[np.isfinite(size)]
+    mean = float(tilt.mean()) if len(tilt) else 0.0
+    rate, why = autocorr_cadence(size, K.TARGET_HZ, float(size.mean()) if len(size) else float("nan"))
+    out = {"n": int(inside.sum()), "n_tilt": len(tilt), "tilt": mean, "tilt_m2": float(((tilt - mean) ** 2).sum()), "n_sma": len(size), "motion": float(size.sum()), "has_gyro": sig["gyro"] is not None, "cadence": None if np.isnan(rate) else rate, "why": why}
+    for i, axis in enumerate("xyz"):
+        w = sig["gyro"][inside][:, i] if sig["gyro"] is not None else np.empty(0)
+        w = w[np.isfinite(w)]
+        out |= {f"n_{axis}": len(w), f"sq_{axis}": float(w @ w)}
+    return out
 
 
 def window_features(sig: dict, start: int, stop: int) -> dict:

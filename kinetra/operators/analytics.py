@@ -10,27 +10,92 @@ from kinetra import constants as K
 from kinetra.functions import columns as C
 
 
-def signatures(segments: DataFrame, windows: DataFrame) -> DataFrame:
-    """Label-free features of each segment from its windows (by user and closed time range).
+SLICE_DDL = "segment_id string, n long, n_tilt long, tilt double, tilt_m2 double, n_sma long, motion double, has_gyro boolean, cadence double, why string, " + ", ".join(f"n_{a} long, sq_{a} double" for a in "xyz")
 
-    Segments meet windows by minute bins, not by a range join.  Unmeasured features are null.
+
+def signal_slices(segments: DataFrame, bursts: DataFrame) -> DataFrame:
+    """A1-A5: one row of sums for each segment and burst that meet, over the samples in the closed time range.
+
+    Only ids and times are matched (by minute bins); each burst then carries the list of its segments, so its
+    samples are moved once, whatever the number of segments.
     """
+    from kinetra.functions import kernels as N
+    from kinetra.operators.intervals import overlap_pairs
+    from kinetra.plans.recognition import arrow_batch, arrow_schema, decoded
+
+    near = 1.0 / K.TARGET_HZ  # a segment that only touches the first or last sample still meets the burst
+    held = bursts.where(F.col("acc").isNotNull() & (F.size("acc") > 0))
+    spans = held.select("uuid", "timestamp", (F.col("timestamp") + F.array_min("acc.t") - near).alias("r_start"), (F.col("timestamp") + F.array_max("acc.t") + near).alias("r_end"))
+    s = segments.select("uuid", F.col("segment_id").cast("string").alias("segment_id"), (F.col("t_start") - near).alias("l_start"), (F.col("t_end") + near).alias("l_end"))
+    pairs = overlap_pairs(s, spans, ["uuid"], 60.0)
+    asked = pairs.groupBy("uuid", "timestamp").agg(F.collect_list(F.struct("segment_id", (F.col("l_start") + near).alias("lo"), (F.col("l_end") - near).alias("hi"))).alias("asked"))
+    rows = held.join(asked, ["uuid", "timestamp"]).select("uuid", "timestamp", "acc", "gyro", "asked")
+    schema = arrow_schema(SLICE_DDL)
+
+    def run(batches):
+        for batch in batches:
+            asks = batch.column(4).to_pylist()
+            out = [{"segment_id": x["segment_id"], **N.slice_sums(sig, x["lo"] - ts, x["hi"] - ts)} for (_, ts, sig), ask in zip(decoded(batch), asks) for x in ask]
+            yield arrow_batch(out, schema)
+
+    return rows.mapInArrow(run, SLICE_DDL)
+
+
+def peak_cadence(segments: DataFrame, windows: DataFrame) -> DataFrame:
+    """Mean peak-counted cadence per minute of the windows that a segment overlaps; windows that are too quiet
+    or have too little data do not count."""
     from kinetra.operators.intervals import overlap_pairs
 
-    w = windows.withColumn("r_start", F.col("timestamp") + F.col("t_start_s")).withColumn("r_end", F.col("timestamp") + F.col("t_end_s")).drop("flags", "label")
-    s = segments.select("uuid", "segment_id", F.col("t_start").alias("l_start"), F.col("t_end").alias("l_end"))
-    pairs = overlap_pairs(s, w, ["uuid"], 60.0)
-    num = {c: F.when(~F.isnan(F.col(c)), F.col(c)) for c in ("tilt_deg", "sma", "gyro_x_rms", "gyro_y_rms", "gyro_z_rms", "cadence_hz")}
-    out = pairs.groupBy("segment_id").agg(
-        F.avg(num["tilt_deg"]).alias("tilt_deg_mean"),
-        F.stddev_samp(num["tilt_deg"]).alias("tilt_deg_std"),
-        F.avg(num["sma"]).alias("sma"),
-        (F.avg(num["cadence_hz"]) * 60).alias("cadence_bpm_peaks"),
-        *[F.sqrt(F.avg(num[f"gyro_{a}_rms"] * num[f"gyro_{a}_rms"])).alias(f"gyro_rms_{a}") for a in "xyz"],
-        F.count(F.lit(1)).alias("n_windows"),
+    w = windows.select("uuid", (F.col("timestamp") + F.col("t_start_s")).alias("r_start"), (F.col("timestamp") + F.col("t_end_s")).alias("r_end"), "cadence_hz", F.col("flags").alias("w_flags"))
+    s = segments.select("uuid", F.col("segment_id").cast("string").alias("segment_id"), F.col("t_start").alias("l_start"), F.col("t_end").alias("l_end"))
+    left_out = F.arrays_overlap(F.coalesce("w_flags", F.array().cast("array<string>")), F.array(F.lit("insufficient_data"), F.lit("too_quiet_for_cadence")))
+    usable = ~left_out & C.finite(F.col("cadence_hz")) & (F.col("cadence_hz") > 0)
+    return overlap_pairs(s, w, ["uuid"], 60.0).groupBy("segment_id").agg((F.avg(F.when(usable, F.col("cadence_hz"))) * 60).alias("cadence_bpm_peaks"), F.count(F.lit(1)).alias("n_windows"))
+
+
+def merge_slices(slices: DataFrame) -> DataFrame:
+    """Sums of ``signal_slices`` joined to features of the whole segment; the cadence is that of its longest
+    slice, the faster one on ties."""
+    mean = F.try_divide(F.sum(F.col("n_tilt") * F.col("tilt")), F.sum("n_tilt"))
+    spread = F.sum("tilt_m2") + F.sum(F.col("n_tilt") * F.col("tilt") * F.col("tilt")) - F.sum("n_tilt") * mean * mean
+    longest = F.max(F.struct("n", "cadence", "why"))
+    enough = F.sum("n_tilt") >= 2
+    return slices.groupBy("segment_id").agg(
+        F.sum("n").alias("n_samples"),
+        F.when(enough, mean).alias("tilt_deg_mean"),
+        F.when(enough, F.sqrt(F.try_divide(F.greatest(spread, F.lit(0.0)), F.sum("n_tilt") - 1))).alias("tilt_deg_std"),
+        F.try_divide(F.sum("motion"), F.sum("n_sma")).alias("sma"),
+        longest["cadence"].alias("cadence_bpm"),
+        longest["why"].alias("why"),
+        F.max("has_gyro").alias("has_gyro"),
+        *[F.sqrt(F.try_divide(F.sum(f"sq_{a}"), F.sum(f"n_{a}"))).alias(f"gyro_rms_{a}") for a in "xyz"],
     )
-    out = segments.select("segment_id", "uuid", "t_start", "t_end", (F.col("t_end") - F.col("t_start")).alias("duration_s")).join(out, "segment_id", "left")
-    return out.withColumn("flags", C.flags((F.col("n_windows").isNull(), "no_signal"), (F.col("gyro_rms_x").isNull(), "no_gyro"), (F.col("tilt_deg_mean").isNull(), "tilt_unavailable"), (F.col("cadence_bpm_peaks").isNull(), "no_peak_cadence")))
+
+
+def signatures(segments: DataFrame, bursts: DataFrame, windows: DataFrame | None = None) -> DataFrame:
+    """Label-free features of each segment, one row per segment.
+
+    Tilt, motion, rotation and the autocorrelation cadence come from all samples in the segment's closed time
+    range, whatever bursts they lie in; the peak cadence from its windows.  Unmeasured features are null, and
+    ``flags`` says why.
+    """
+    own = segments.select(F.col("segment_id").cast("string").alias("segment_id"), "uuid", "t_start", "t_end", (F.col("t_end") - F.col("t_start")).alias("duration_s"))
+    out = own.join(merge_slices(signal_slices(segments, bursts)), "segment_id", "left")
+    if windows is None:
+        out = out.withColumn("cadence_bpm_peaks", F.lit(None).cast("double")).withColumn("n_windows", F.lit(0).cast("long"))
+    else:
+        out = out.join(peak_cadence(segments, windows), "segment_id", "left").withColumn("n_windows", F.coalesce("n_windows", F.lit(0)))
+    none, empty = F.col("n_samples").isNull(), F.col("n_samples") == 0
+    named = C.flags(
+        (none, "no_signal"),
+        (empty, "empty_slice"),
+        (F.col("tilt_deg_mean").isNull() & ~none, "tilt_unavailable"),
+        (~F.col("has_gyro"), "no_gyro"),
+        (F.col("cadence_bpm_peaks").isNull() & ~none, "no_peak_cadence"),
+        (cadence_disagrees(F.col("cadence_bpm"), F.col("cadence_bpm_peaks")), "cadence_disagreement"),
+        *[(F.col("why") == w, w) for w in ("autocorr_insufficient", "too_quiet_for_cadence", "cadence_not_found")],
+    )
+    return out.withColumn("flags", named).drop("why")
 
 
 def cadence_disagrees(a: Column, b: Column) -> Column:
@@ -45,6 +110,16 @@ def jerk_energy(sma: Column, gx: Column, gy: Column, gz: Column) -> Column:
     return F.when(C.finite(sma), F.when(F.coalesce(*parts).isNull(), sma).otherwise(sma * F.sqrt(spin)))
 
 
+def event_flags(sig: DataFrame) -> DataFrame:
+    """``(segment_id, flags)``: what kept the rule from judging a segment.  Tilt and length are looked at only
+    where the jerk energy passes its cut, and length only where tilt and its deviation are measured."""
+    jerk = jerk_energy(F.col("sma"), F.col("gyro_rms_x"), F.col("gyro_rms_y"), F.col("gyro_rms_z"))
+    missing, over = ~F.coalesce(C.finite(jerk), F.lit(False)), jerk > K.JERK_CUT
+    tilt, std = F.coalesce(C.finite(F.col("tilt_deg_mean")), F.lit(False)), F.coalesce(C.finite(F.col("tilt_deg_std")), F.lit(False))
+    named = C.flags((missing, "jerk_energy_missing"), (over & ~tilt, "tilt_missing"), (over & tilt & ~std, "tilt_std_missing"), (over & tilt & std & (F.col("duration_s") < K.EVENT_MIN_S), "short_segment"))
+    return sig.select("segment_id", named.alias("flags"))
+
+
 def physics_events(sig: DataFrame) -> DataFrame:
     """Impact followed by lying still: jerk energy above 2, tilt of 70 and more, its deviation 15 at most,
     2 s at least."""
@@ -52,10 +127,10 @@ def physics_events(sig: DataFrame) -> DataFrame:
     j = sig.withColumn("trigger_jerk_energy", jerk)
     hit = j.where((F.col("trigger_jerk_energy") > K.JERK_CUT) & (F.col("tilt_deg_mean") >= K.TILT_CUT) & (F.col("tilt_deg_std") <= K.TILT_STD_CUT) & (F.col("duration_s") >= K.EVENT_MIN_S))
     score = (F.col("trigger_jerk_energy") - K.JERK_CUT) / K.JERK_CUT + (F.col("tilt_deg_mean") - K.TILT_CUT) / (180.0 - K.TILT_CUT)
-    return hit.select("segment_id", "t_start", "t_end", F.lit("physics_rule").alias("method"), score.alias("score"), "trigger_jerk_energy", F.col("tilt_deg_mean").alias("trigger_tilt_deg_mean"), F.col("tilt_deg_std").alias("trigger_tilt_deg_std"))
+    return hit.select("segment_id", "t_start", "t_end", F.lit("physics_rule").alias("method"), score.alias("score"), "trigger_jerk_energy", F.col("tilt_deg_mean").alias("trigger_tilt_deg_mean"), F.col("tilt_deg_std").alias("trigger_tilt_deg_std"), F.array().cast("array<string>").alias("flags"))
 
 
-FOREST_FEATURES = ["jerk_energy", "sma", "tilt_deg_mean", "tilt_deg_std", "cadence_bpm_peaks", "gyro_rms_x", "gyro_rms_y", "gyro_rms_z"]
+FOREST_FEATURES = ["jerk_energy", "sma", "tilt_deg_mean", "tilt_deg_std", "cadence_bpm", "gyro_rms_x", "gyro_rms_y", "gyro_rms_z"]
 
 
 def forest_events(sig: DataFrame, contamination: float = 0.05, borderline: float = 0.05, trees: int = 100, size: int = 256, seed: int = 42) -> DataFrame:
@@ -87,7 +162,7 @@ def forest_events(sig: DataFrame, contamination: float = 0.05, borderline: float
     scored = filled.withColumn("segment_id", F.col("segment_id").cast("string")).mapInPandas(run, "segment_id string, t_start double, t_end double, score double")
     cut = scored.agg(F.percentile_approx("score", 1 - contamination, 10_000)).first()[0] if score else 1.0
     over = F.col("score") - F.lit(cut)
-    return scored.where(over >= 0).select("segment_id", "t_start", "t_end", F.lit("isolation_forest").alias("method"), over.alias("score"), (F.abs(over) < borderline).alias("borderline"))
+    return scored.where(over >= 0).select("segment_id", "t_start", "t_end", F.lit("isolation_forest").alias("method"), over.alias("score"), (F.abs(over) < borderline).alias("borderline")).withColumn("flags", C.flags((F.lit(True), "isolation_forest_fallback"), (F.col("borderline"), "if_borderline")))
 
 
 def detect_events(sig: DataFrame, fallback: DataFrame | None = None) -> DataFrame:

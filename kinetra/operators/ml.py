@@ -6,7 +6,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import Imputer, StandardScaler, StringIndexer, VectorAssembler
@@ -80,13 +80,15 @@ def placement_onehot(c: Column) -> list[Column]:
 def burst_sequences(bursts: DataFrame, steps: int = 400, least: int = 25) -> DataFrame:
     """``(uuid, timestamp, seq, valid)`` with six channels (body and rotation axes) padded or cut to
     ``steps``; bursts with fewer than ``least`` valid steps are left out."""
-    from kinetra.plans.recognition import _signal
+    from kinetra.plans.recognition import arrow_batch, arrow_schema, decoded
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    ddl = "uuid string, timestamp long, seq array<array<float>>, valid array<boolean>"
+    schema = arrow_schema(ddl)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             out = []
-            for u, ts, a, g in zip(pdf["uuid"], pdf["timestamp"], pdf["acc"], pdf["gyro"]):
-                s = _signal(a, g)
+            for u, ts, s in decoded(batch):
                 n = min(steps, len(s["t"]))
                 spin = s["gyro"] if s["gyro"] is not None else np.zeros((len(s["t"]), 3))
                 x = np.zeros((steps, 6), dtype=np.float32)
@@ -94,10 +96,10 @@ def burst_sequences(bursts: DataFrame, steps: int = 400, least: int = 25) -> Dat
                 ok = np.zeros(steps, dtype=bool)
                 ok[:n] = np.isfinite(s["body"][:n]).all(axis=1)
                 if ok.sum() >= least:
-                    out.append((u, ts, np.nan_to_num(x).tolist(), ok.tolist()))
-            yield pd.DataFrame(out, columns=["uuid", "timestamp", "seq", "valid"])
+                    out.append({"uuid": u, "timestamp": ts, "seq": np.nan_to_num(x).tolist(), "valid": ok.tolist()})
+            yield arrow_batch(out, schema)
 
-    return bursts.select("uuid", "timestamp", "acc", "gyro").mapInPandas(run, "uuid string, timestamp long, seq array<array<float>>, valid array<boolean>")
+    return bursts.select("uuid", "timestamp", "acc", "gyro").mapInArrow(run, ddl)
 
 
 def burst_vectors(w: DataFrame) -> DataFrame:

@@ -30,33 +30,33 @@ def _cells(column: pa.ListArray) -> list[tuple]:
     return [(data[lo:hi, 0], data[lo:hi, 1:]) if ok and hi > lo else (None, None) for lo, hi, ok in zip(edges, edges[1:], known)]
 
 
-def _signals(batch: pa.RecordBatch) -> Iterator[tuple[str, int, dict]]:
+def decoded(batch: pa.RecordBatch) -> Iterator[tuple[str, int, dict]]:
     for u, ts, (t, a), (g_t, g) in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _cells(batch.column(2)), _cells(batch.column(3))):
         yield u, ts, N.preprocess(t, a, g_t, g) if t is not None else N.preprocess(np.empty(0), np.empty((0, 3)))
 
 
-def _batch(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
+def arrow_batch(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r.get(f.name) for r in rows], f.type, from_pandas=True) for f in schema], schema=schema)
 
 
-def _arrow(ddl: str) -> pa.Schema:
+def arrow_schema(ddl: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(ddl))
 
 
 def preprocess(bursts: DataFrame) -> DataFrame:
     """K13 for every burst ``(uuid, timestamp, acc, gyro)``: no shuffle."""
 
-    schema = _arrow(SIGNAL_DDL)
+    schema = arrow_schema(SIGNAL_DDL)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for u, ts, s in _signals(batch):
+            for u, ts, s in decoded(batch):
                 body = np.linalg.norm(s["body"], axis=1) if len(s["t"]) else np.empty(0)
                 tilt = N.tilt_deg(s["gravity"]).tolist() if len(s["t"]) else []
                 gaps = [{"start_s": x, "end_s": y} for x, y in s["gaps"]]
                 out.append({"uuid": u, "timestamp": ts, "t": s["t"].tolist(), "body": body.tolist(), "tilt": tilt, "valid_fraction": s["valid_fraction"], "coverage_s": s["coverage_s"], "accel_unit": s["unit"], "gaps": gaps, "flags": s["flags"]})
-            yield _batch(out, schema)
+            yield arrow_batch(out, schema)
 
     return bursts.select("uuid", "timestamp", "acc", "gyro").mapInArrow(run, SIGNAL_DDL)
 
@@ -68,12 +68,12 @@ def windows(bursts: DataFrame, size_s: float = K.WINDOW_S, overlap: float = K.OV
     hop = max(1, int(round(size * (1 - overlap))))
 
     ddl = WINDOW_DDL + (", sig_t array<double>, sig_body array<double>" if signals else "")
-    schema = _arrow(ddl)
+    schema = arrow_schema(ddl)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for u, ts, s in _signals(batch):
+            for u, ts, s in decoded(batch):
                 extra = {"unit_ambiguous"} & set(s["flags"])
                 for i, lo in enumerate(range(0, len(s["t"]) - size + 1, hop)):
                     f = N.window_features(s, lo, lo + size)
@@ -83,7 +83,7 @@ def windows(bursts: DataFrame, size_s: float = K.WINDOW_S, overlap: float = K.OV
                         row |= {"sig_t": s["t"].tolist(), "sig_body": np.linalg.norm(s["body"], axis=1).tolist()}
                     before = usable
                     out.append(row)
-            yield _batch(out, schema)
+            yield arrow_batch(out, schema)
 
     return bursts.select("uuid", "timestamp", "acc", "gyro").mapInArrow(run, ddl)
 

@@ -284,6 +284,18 @@ def jerk_energy(spark, d):
     return s.select("segment_id", r6(analytics.jerk_energy(F.col("sma"), F.col("gyro_rms_x"), F.col("gyro_rms_y"), F.col("gyro_rms_z"))).alias("jerk_energy"))
 
 
+_GAPS = "g AS (SELECT segment_id, CASE WHEN segment_id % 7 = 0 THEN NULL ELSE round(sma*sqrt(coalesce(gx*gx, 0) + gy*gy + gz*gz), 9) END AS je, CASE WHEN segment_id % 5 = 0 THEN NULL ELSE tilt END AS tilt, CASE WHEN segment_id % 11 = 0 THEN NULL ELSE tstd END AS tstd, dur FROM sg)"
+
+
+@query(f"WITH {_SIGNATURE}, {_GAPS} SELECT segment_id, CASE WHEN je IS NULL THEN 'jerk_energy_missing' WHEN je <= 2 THEN '' WHEN tilt IS NULL THEN 'tilt_missing' WHEN tstd IS NULL THEN 'tilt_std_missing' WHEN dur < 2 THEN 'short_segment' ELSE '' END AS flags FROM g")
+def event_flags(spark, d):
+    """Every segment; by rule some lack motion, tilt or its deviation."""
+    s = _signature(spark, d)
+    gap = lambda c, n: F.when(F.col("segment_id") % n != 0, F.col(c))
+    s = s.select("segment_id", "duration_s", "gyro_rms_x", "gyro_rms_y", "gyro_rms_z", gap("sma", 7).alias("sma"), gap("tilt_deg_mean", 5).alias("tilt_deg_mean"), gap("tilt_deg_std", 11).alias("tilt_deg_std"))
+    return analytics.event_flags(s).select("segment_id", F.array_join("flags", ",").alias("flags"))
+
+
 EVENT_MET = {"click": (3.5, 2.0, 4.5), "purchase": (8.0, 6.0, 13.5), "view": (1.5, 1.3, 1.8), "signup": (1.8, 1.3, 2.3)}
 _MET = "met(activity, m, lo, hi) AS (VALUES " + ", ".join(f"('{k}', {a}, {b}, {c})" for k, (a, b, c) in EVENT_MET.items()) + ")"
 
@@ -557,5 +569,5 @@ def burst_windows(spark, d):
 
 @query()
 def forest_events(spark, d):
-    s = _signature(spark, d).withColumn("cadence_bpm_peaks", F.lit(0.0))
+    s = _signature(spark, d).withColumn("cadence_bpm", F.lit(0.0))
     return analytics.forest_events(s)

@@ -158,8 +158,12 @@ def test_bursts_to_timeline(spark):
     assert all(a["t_end"] == b["t_start"] for a, b in zip(out, out[1:])) and len(out) >= 2
     assert abs(out[0]["t_end"] - 30) < 4
     assert all(abs(sum(r["mean_probs"]) - 1) < 1e-9 and r["coverage_s"] <= r["t_end"] - r["t_start"] for r in out)
-    sig = analytics.signatures(spark.createDataFrame(out), recognition.windows(files.chunks_to_bursts(df, ["uuid"])))
-    assert sig.where("sma is not null").count() == len(out)
+    bursts = files.chunks_to_bursts(df, ["uuid"])
+    sig = {r["segment_id"]: r for r in analytics.signatures(spark.createDataFrame(out), bursts, recognition.windows(bursts)).collect()}
+    assert len(sig) == len(out) and all(r["sma"] is not None for r in sig.values())
+    first, last = sig[out[0]["segment_id"]], sig[out[-1]["segment_id"]]
+    assert first["cadence_bpm"] == 60  # the shortest whole number of samples that holds whole periods (0.25 s) is 25
+    assert last["cadence_bpm"] == 0 and "too_quiet_for_cadence" in last["flags"]
     assert intervals.no_overlap(spark.createDataFrame(out), ["uuid"], "t_start", "t_end").count() == 0
     assert decode.derived(spark.createDataFrame(out)).where("coverage_fraction > 1.0000001").count() == 0
     assert recognition.samples(files.chunks_to_bursts(df, ["uuid"])).where("ok").count() > 1000
@@ -246,8 +250,78 @@ def test_coverage_of_rows_with_nulls(spark):
 def test_forest_learns_from_all_calm_rows(spark):
     rows = [(f"s{i}", float(i), i + 5.0, 5.0, 0.1 + 0.001 * (i % 7), 10.0 + i % 5, 1.0, 100.0, 0.1, 0.1, None if i % 9 else 0.1) for i in range(300)]
     rows += [(f"odd{i}", 900.0 + i, 905.0 + i, 5.0, 9.0, 170.0, 60.0, 5.0, 9.0, 9.0, 9.0) for i in range(6)]
-    df = spark.createDataFrame(rows, "segment_id string, t_start double, t_end double, duration_s double, sma double, tilt_deg_mean double, tilt_deg_std double, cadence_bpm_peaks double, gyro_rms_x double, gyro_rms_y double, gyro_rms_z double")
+    df = spark.createDataFrame(rows, "segment_id string, t_start double, t_end double, duration_s double, sma double, tilt_deg_mean double, tilt_deg_std double, cadence_bpm double, gyro_rms_x double, gyro_rms_y double, gyro_rms_z double")
     got, again = (analytics.forest_events(x).toPandas().sort_values("segment_id") for x in (df, df.repartition(5)))
     assert {f"odd{i}" for i in range(6)} <= set(got["segment_id"]) and len(got) < 60
     assert got["segment_id"].tolist() == again["segment_id"].tolist() and (got["score"].to_numpy() == again["score"].to_numpy()).all()
     assert analytics.forest_events(df.limit(0)).count() == 0
+
+
+def _bursts(spark, rows):
+    cell = "array<struct<t:double,x:double,y:double,z:double>>"
+    return spark.createDataFrame(rows, f"uuid string, timestamp long, acc {cell}, gyro {cell}")
+
+
+def _still(seconds, x=0.0, z=-1.0):
+    return [(i / 40, x, 0.0, z) for i in range(int(seconds * 40))]
+
+
+def test_signatures_over_samples(spark):
+    walk = [(i / 40, 0.0, 0.0, -1 - 0.3 * math.sin(2.5 * math.pi * i / 40)) for i in range(800)]  # magnitude: 0.4 s
+    spin = [(i / 40, 0.03, 0.04, 0.0) for i in range(800)]
+    bursts = _bursts(spark, [("u", 60, walk, spin), ("u", 120, _still(20), None), ("u", 180, _still(20, 1.0, 0.0), None), ("v", 60, None, None)])
+    names = [("walk", 61.0, 79.0), ("still", 120.0, 139.0), ("both", 120.0, 200.0), ("short", 60.0, 61.0), ("gap", 90.0, 100.0), ("touch", 120.0, 120.0)]
+    segments = spark.createDataFrame([(n, "u", a, b) for n, a, b in names] + [("other", "v", 60.0, 70.0)], "segment_id string, uuid string, t_start double, t_end double")
+    got = {r["segment_id"]: r for r in analytics.signatures(segments, bursts).collect()}
+    assert len(got) == 7 and all(r["n_windows"] == 0 and r["cadence_bpm_peaks"] is None for r in got.values())
+    walk = got["walk"]
+    assert walk["cadence_bpm"] == pytest.approx(150) and walk["flags"] == ["no_peak_cadence"]
+    assert [walk[f"gyro_rms_{a}"] for a in "xyz"] == pytest.approx([0.03, 0.04, 0]) and walk["n_samples"] == pytest.approx(18 * K.TARGET_HZ, abs=2)
+    assert got["still"]["cadence_bpm"] == 0 and got["still"]["tilt_deg_mean"] == pytest.approx(0, abs=1e-4) and "no_gyro" in got["still"]["flags"]
+    both = got["both"]  # two bursts of equal length, upright and lying
+    n = both["n_samples"]
+    assert both["tilt_deg_mean"] == pytest.approx(45, abs=0.1) and both["tilt_deg_std"] == pytest.approx(45 * math.sqrt(n / (n - 1)), rel=1e-2)
+    assert got["short"]["cadence_bpm"] is None and "autocorr_insufficient" in got["short"]["flags"]
+    assert got["gap"]["flags"] == ["no_signal"] and got["other"]["flags"] == ["no_signal"]
+    assert got["touch"]["n_samples"] == 1 and "tilt_unavailable" in got["touch"]["flags"]
+    windows_ = recognition.windows(bursts)
+    with_peaks = {r["segment_id"]: r for r in analytics.signatures(segments, bursts, windows_).collect()}
+    assert with_peaks["walk"]["cadence_bpm_peaks"] == pytest.approx(75, abs=12) and with_peaks["still"]["cadence_bpm_peaks"] is None
+    halved = windows_.withColumn("cadence_hz", F.col("cadence_hz") / 2)
+    assert "cadence_disagreement" in analytics.signatures(segments, bursts, halved).where("segment_id = 'walk'").first()["flags"]
+    assert analytics.signatures(segments.limit(0), bursts).count() == 0 and analytics.signatures(segments, bursts.limit(0)).count() == 7
+
+
+def test_event_flags(spark):
+    nan = float("nan")
+    rows = [("ok", 5.0, 3.0, 1.0, 80.0, 5.0), ("j", 5.0, nan, 1.0, 80.0, 5.0), ("t", 5.0, 3.0, 1.0, None, 5.0), ("s", 5.0, 3.0, 1.0, 80.0, nan), ("b", 1.0, 3.0, 1.0, 80.0, 5.0), ("calm", 1.0, 0.1, 1.0, None, None)]
+    df = spark.createDataFrame([(n, d, m, g, None, None, t, s) for n, d, m, g, t, s in rows], "segment_id string, duration_s double, sma double, gyro_rms_x double, gyro_rms_y double, gyro_rms_z double, tilt_deg_mean double, tilt_deg_std double")
+    want = {"ok": [], "j": ["jerk_energy_missing"], "t": ["tilt_missing"], "s": ["tilt_std_missing"], "b": ["short_segment"], "calm": []}
+    assert {r["segment_id"]: r["flags"] for r in analytics.event_flags(df).collect()} == want
+
+
+def test_burst_tensors(spark):
+    bursts = _bursts(spark, [("u", 60, _still(10), _still(10)), ("u", 120, _still(0.5), None), ("u", 180, None, None)])
+    r = ml.burst_sequences(bursts, steps=300).collect()
+    assert [x["timestamp"] for x in r] == [60] and len(r[0]["seq"]) == 300 and {len(x) for x in r[0]["seq"]} == {6}
+    n = sum(r[0]["valid"])
+    assert 245 <= n <= 251 and all(v == 0 for x in r[0]["seq"][n + 1 :] for v in x) and r[0]["seq"][10][5] == pytest.approx(-1)
+    w = recognition.windows(bursts)
+    v = ml.burst_vectors(w).collect()
+    assert [x["timestamp"] for x in v] == [60] and v[0]["sma"] == pytest.approx(0, abs=1e-3)
+    assert ml.loco_features(w).where("rot_ratio is null or dom_hz is null").count() == 0
+    hot = spark.createDataFrame([("bag",), ("sky",), (None,)], "p string").select(*ml.placement_onehot(F.col("p"))).collect()
+    assert [sum(x) for x in hot] == [1.0, 0.0, 0.0] and hot[0]["phone_bag"] == 1.0
+
+
+def test_window_starts_and_hop(spark):
+    n = spark.createDataFrame([(10,), (4,), (3,)], "n int").select(windows.sliding_index(F.col("n"), 4, 3).alias("i")).collect()
+    assert [x["i"] for x in n] == [[0, 3, 6], [0], []]
+    rows = spark.createDataFrame([("a", 0.0), ("a", 0.0), ("a", 2.5), ("a", 9.0), ("b", 1.0)], "k string, s double")
+    assert {r["k"]: r["hop_s"] for r in windows.hop(rows, ["k"], ["s"], "s").collect()} == {"a": 2.5, "b": 1.0}
+
+
+def test_slices_of_arrays(spark):
+    t, x = (F.array(*[F.lit(float(i)) for i in v]) for v in ((0, 1, 2, 3), (5, 6, 7, 8)))
+    r = spark.range(1).select(store.slice_signal(t, x, F.lit(1.0), F.lit(3.0)).alias("half"), store.slice_signal(t, x, F.lit(1.0), F.lit(3.0), closed=True).alias("closed")).first()
+    assert r["half"] == [6.0, 7.0] and r["closed"] == [6.0, 7.0, 8.0]
