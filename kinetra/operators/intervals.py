@@ -47,12 +47,17 @@ def majority_label(minutes: DataFrame, segments: DataFrame, keys: list[str], wid
     return pairs.withColumn("__r", F.row_number().over(best)).where("__r = 1").drop("__r")
 
 
-def coverage(queries: DataFrame, samples: DataFrame, keys: list[str], width: float = 60.0) -> DataFrame:
-    """J7 on samples ``(t, ok)``: share of finite samples in ``[q0, q1)``, 0 without samples."""
+def _covered(queries: DataFrame, samples: DataFrame, keys: list[str], width: float) -> DataFrame:
+    """J7 for the queries that hold samples.  Never a broadcast: the planner's size of exploded bins is too small."""
     binned = _binned(queries.withColumn("__q", F.struct(*queries.columns)), "q0", "q1", width)
     points = samples.withColumn("__bin", F.floor(F.col("t") / width)).select(*keys, "__bin", "t", "ok")
-    hits = binned.join(points, [*keys, "__bin"]).where("t >= q0 and t < q1")
-    found = hits.groupBy(*queries.columns).agg(F.avg(F.col("ok").cast("double")).alias("coverage"))
+    hits = binned.hint("merge").join(points, [*keys, "__bin"]).where("t >= q0 and t < q1")
+    return hits.groupBy(*queries.columns).agg(F.avg(F.col("ok").cast("double")).alias("coverage"))
+
+
+def coverage(queries: DataFrame, samples: DataFrame, keys: list[str], width: float = 60.0) -> DataFrame:
+    """J7 on samples ``(t, ok)``: share of finite samples in ``[q0, q1)``, 0 without samples."""
+    found = _covered(queries, samples, keys, width)
     same = [F.col(f"q.`{c}`").eqNullSafe(F.col(f"f.`{c}`")) for c in queries.columns]  # a null column is no reason to lose coverage
     both = queries.alias("q").join(found.alias("f"), reduce(lambda a, b: a & b, same), "left")
     return both.select(*(F.col(f"q.`{c}`").alias(c) for c in queries.columns), F.coalesce("f.coverage", F.lit(0.0)).alias("coverage"))
@@ -64,21 +69,53 @@ def coverage_scalar(coverage_s: Column, q0: Column, q1: Column) -> Column:
     return F.when(span > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), coverage_s / span))).otherwise(F.lit(0.0))
 
 
+def _probe(ord_: Column) -> tuple[Column, Column]:
+    """Start and end of the probe number ``ord_`` of an evidence row, cut to ``[seg_lo, seg_hi]``."""
+    shift = F.when(ord_ % 2 == 1, (ord_ + 1) / 2).otherwise(-ord_ / 2) * K.PROBE_STEP_S
+    mid, wide, lo, hi = _reach()
+    return F.greatest(lo, mid + shift - wide / 2), F.least(hi, mid + shift + wide / 2)
+
+
+def _reach() -> tuple[Column, Column, Column, Column]:
+    """Middle of an evidence row, width of its probes, and the bounds that hold them all."""
+    mid, wide = (F.col("t_start") + F.col("t_end")) / 2, F.greatest(F.lit(K.PROBE_MIN_S), F.col("t_end") - F.col("t_start"))
+    return mid, wide, F.greatest("seg_lo", mid - K.WIDEN_S), F.least("seg_hi", mid + K.WIDEN_S)
+
+
 def probes(evidence: DataFrame) -> DataFrame:
     """Outward probes 0, +1, -1, ... seconds around an interval's middle, cut to ``[seg_lo, seg_hi]``."""
-    steps = 2 * K.WIDEN_S + 1
-    ordered = evidence.withColumn("ord", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))))
-    shift = F.when(F.col("ord") % 2 == 1, (F.col("ord") + 1) / 2).otherwise(-F.col("ord") / 2) * K.PROBE_STEP_S
-    mid, wide = (F.col("t_start") + F.col("t_end")) / 2, F.greatest(F.lit(K.PROBE_MIN_S), F.col("t_end") - F.col("t_start"))
-    lo, hi = F.greatest("seg_lo", mid - K.WIDEN_S), F.least("seg_hi", mid + K.WIDEN_S)
-    q0, q1 = F.greatest(lo, mid + shift - wide / 2), F.least(hi, mid + shift + wide / 2)
+    ordered = evidence.withColumn("ord", F.explode(F.sequence(F.lit(0), F.lit(2 * K.WIDEN_S))))
+    q0, q1 = _probe(F.col("ord"))
     return ordered.withColumn("q0", q0).withColumn("q1", q1).where("q1 > q0")
 
 
 def nearest_covered(evidence: DataFrame, samples: DataFrame, keys: list[str], id_col: str) -> DataFrame:
-    """The first probe with coverage above 0, one row per evidence row that has one."""
-    told = coverage(probes(evidence).select(*keys, id_col, "ord", "q0", "q1"), samples, keys)
-    return told.where("coverage > 0").groupBy(*keys, id_col).agg(F.min_by(F.struct("ord", "q0", "q1", "coverage"), "ord").alias("p")).select(*keys, id_col, "p.*")
+    """The first probe with coverage above 0, one row per evidence row that has one.
+
+    Probes overlap (``PROBE_MIN_S`` is above ``PROBE_STEP_S``), so the first covered one holds the finite sample
+    nearest to the middle on one of its sides.  Those two come from one sort of rows and samples by key and time
+    bin; only the probes that may hold them are made, not all of each row.
+    """
+    known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    mid, wide, lo, hi = _reach()
+    rows = evidence.where(known).select(*keys, id_col, "t_start", "t_end", "seg_lo", "seg_hi", lo.alias("__lo"), hi.alias("__hi"))
+    rows = _binned(rows, "__lo", "__hi", 2.0 * K.WIDEN_S)
+    row = F.struct(id_col, "t_start", "t_end", "seg_lo", "seg_hi", "__lo", "__hi")
+    none = F.lit(None)
+    asked = rows.select(*keys, "__bin", F.greatest("__lo", F.least("__hi", mid)).alias("__at"), none.cast("double").alias("__t"), row.alias("__row"))
+    points = samples.where(known & F.col("ok")).select(*keys, F.floor(F.col("t") / (2.0 * K.WIDEN_S)).alias("__bin"), F.col("t").cast("double").alias("__at"), F.col("t").cast("double").alias("__t"), none.cast(asked.schema["__row"].dataType).alias("__row"))
+    here, so_far = W.partitionBy(*keys, "__bin"), (W.unboundedPreceding, W.currentRow)
+    before = F.max("__t").over(here.orderBy(F.asc("__at"), F.col("__row").isNull()).rowsBetween(*so_far))
+    behind = F.min("__t").over(here.orderBy(F.desc("__at"), F.col("__row").isNotNull()).rowsBetween(*so_far))
+    sides = asked.unionByName(points).withColumn("__l", before).withColumn("__r", behind).where("__row is not null")
+    near = sides.select(*keys, "__row.*", F.explode(F.array("__l", "__r")).alias("__t")).where("__t >= __lo and __t < __hi")
+    # the count of steps is rounded, so its neighbours are tried as well, by the bounds of the probes themselves
+    steps = F.greatest(F.lit(0.0), F.least(F.lit(float(K.WIDEN_S)), F.floor((F.abs(F.col("__t") - mid) - wide / 2) / K.PROBE_STEP_S))).cast("int")
+    tried = near.withColumn("ord", F.explode(F.sequence(F.greatest(F.lit(0), 2 * steps - 3), F.least(F.lit(2 * K.WIDEN_S), 2 * steps + 4))))
+    q0, q1 = _probe(F.col("ord"))
+    held = tried.withColumn("q0", q0).withColumn("q1", q1).where("__t >= q0 and __t < q1")
+    first = held.groupBy(*keys, id_col).agg(F.min(F.struct("ord", "q0", "q1")).alias("p")).select(*keys, id_col, "p.*")
+    return _covered(first, samples, keys, 2.0 * K.PROBE_MIN_S)
 
 
 def no_overlap(rows: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:

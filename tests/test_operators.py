@@ -325,3 +325,33 @@ def test_slices_of_arrays(spark):
     t, x = (F.array(*[F.lit(float(i)) for i in v]) for v in ((0, 1, 2, 3), (5, 6, 7, 8)))
     r = spark.range(1).select(store.slice_signal(t, x, F.lit(1.0), F.lit(3.0)).alias("half"), store.slice_signal(t, x, F.lit(1.0), F.lit(3.0), closed=True).alias("closed")).first()
     assert r["half"] == [6.0, 7.0] and r["closed"] == [6.0, 7.0, 8.0]
+
+
+def test_nearest_covered_equals_all_probes(spark, small):
+    """Against all probes of each row, in NumPy; and no broadcast, which the driver could not hold."""
+    rng = np.random.default_rng(5)
+    samples = [(u, float(t), bool(k)) for u in "ab" for t, k in zip(np.round(rng.uniform(0, 4000, 120), 1), rng.random(120) < 0.6)]
+    samples += [("c", 60.0, True), ("c", 61.0, None), ("c", 59.5, False), (None, 60.0, True)]
+    rows = []
+    for i in range(150):
+        a, b = np.round(rng.uniform(0, 4000), 1), rng.choice([0.0, 1.0, 4.0, 31.5, 300.0])
+        lo = a - rng.choice([-20.0, 0.0, 50.0, 500.0])
+        rows.append(("ab"[i % 2], f"s{i}", float(a), float(a + b), float(lo), float(lo + rng.choice([1.0, 60.0, 800.0]))))
+    rows += [("c", "edge", 20.0, 22.0, 0.0, 60.0), ("c", "at", 59.0, 60.0, 0.0, 300.0), ("c", "far", 181.0, 183.0, 0.0, 300.0), ("d", "none", 0.0, 1.0, 0.0, 2.0), (None, "null", 59.0, 60.0, 0.0, 300.0)]
+    want = {}
+    for u, i, a, b, seg_lo, seg_hi in rows:
+        mid, wide = (a + b) / 2, max(K.PROBE_MIN_S, b - a)
+        for o in range(2 * K.WIDEN_S + 1):
+            at = mid + ((o + 1) / 2 if o % 2 else -o / 2) * K.PROBE_STEP_S
+            q0, q1 = max(seg_lo, mid - K.WIDEN_S, at - wide / 2), min(seg_hi, mid + K.WIDEN_S, at + wide / 2)
+            ok = [k for v, t, k in samples if u is not None and v == u and k is not None and q0 <= t < q1]
+            if any(ok):
+                want[i] = (o, q0, q1, pytest.approx(sum(ok) / len(ok)))
+                break
+    assert 60 < len(want) < 150 and "at" in want and "edge" not in want
+    evidence = spark.createDataFrame(rows, "uuid string, segment_id string, t_start double, t_end double, seg_lo double, seg_hi double")
+    found = intervals.nearest_covered(evidence, spark.createDataFrame(samples, "uuid string, t double, ok boolean"), ["uuid"], "segment_id")
+    assert {r["segment_id"]: (r["ord"], r["q0"], r["q1"], r["coverage"]) for r in found.collect()} == want
+    from kinetra.plans import registry
+
+    assert "Broadcast" not in registry.QUERIES["nearest_covered_probe"](spark, small)._jdf.queryExecution().executedPlan().toString()
