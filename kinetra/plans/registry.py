@@ -557,14 +557,18 @@ def _bursts(spark, d):
     return recognition.synthetic_bursts(table(spark, d, "events"))
 
 
+def _days(spark, d):
+    return recognition.synthetic_days(table(spark, d, "events"))
+
+
 @query()
 def burst_timeline(spark, d):
-    return recognition.timeline(_bursts(spark, d))
+    return recognition.timeline(_days(spark, d), source=recognition.synthetic_signals)
 
 
 @query()
 def burst_windows(spark, d):
-    return recognition.windows(_bursts(spark, d)).drop("flags")
+    return recognition.windows(_days(spark, d), source=recognition.synthetic_signals).drop("flags")
 
 
 @query()

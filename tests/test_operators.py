@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from kinetra import constants as K
 from kinetra.functions import columns as C
+from kinetra.functions import kernels as N
 from kinetra.operators import analytics, answers, decode, intervals, labels, metrics, ml, rollup, router, store, windows
 from kinetra.plans import recognition
 from kinetra.sources import files, sinks
@@ -355,3 +356,43 @@ def test_nearest_covered_equals_all_probes(spark, small):
     from kinetra.plans import registry
 
     assert "Broadcast" not in registry.QUERIES["nearest_covered_probe"](spark, small)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_windows_of_whole_bursts_equal_single_ones(spark, small):
+    """Bursts computed together against the path of single ones; those with holes beside them."""
+    rng = np.random.default_rng(3)
+    t, rows = np.arange(400) / 40, []
+    for k in range(24):
+        step, amp, n = 1 + k % 4 * 0.5, k / 30, 400 if k % 5 else 300 + k
+        wave = np.sin(2 * np.pi * step * t[:n])
+        acc = np.column_stack([t[:n], 0.5 + amp * wave, np.full(n, 0.1), -0.86 - amp * wave]) + (k % 3 == 0) * np.column_stack([np.zeros(n), rng.normal(0, 0.05, (n, 3))])
+        if k % 4 == 3:
+            acc = np.delete(acc, slice(100, 200), axis=0)  # a gap of 2.5 s
+        acc[:, 1:] *= [1, K.STANDARD_GRAVITY, 3][k % 7 % 3]
+        gyro = np.column_stack([t[:n], 0.05 * wave, amp * wave, np.full(n, 0.01)]) if k % 2 else None
+        rows.append(("u", 60 * k, acc, gyro))
+    rows += [("v", 0, None, None), ("v", 60, rows[0][2][:1], None), ("v", 120, rows[1][2][:40], None)]
+    got = {(r["uuid"], r["timestamp"], r["index"]): r for r in recognition.windows(_bursts(spark, [(u, ts, *(None if x is None else [tuple(map(float, c)) for c in x] for x in (a, g))) for u, ts, a, g in rows]), signals=True).collect()}
+    want, whole = {}, 0
+    for u, ts, a, g in rows:
+        if a is None or len(a) < 2:
+            continue
+        gyro = (None, None) if g is None else (g[:, 0], g[:, 1:])
+        whole += N.whole(N.resampled(a[:, 0], a[:, 1:], *gyro), 50)
+        for r in recognition._single(u, ts, N.preprocess(a[:, 0], a[:, 1:], *gyro), 50, 25, True):
+            want[u, ts, r["index"]] = r
+    assert got.keys() == want.keys() and 15 <= whole < 24
+    for key, r in want.items():
+        for name, x in r.items():
+            y = got[key][name]
+            if name.startswith("sig_"):
+                x, y = np.array(x, float), np.array(y, float)
+                assert x.shape == y.shape and np.allclose(x, y, atol=1e-9, equal_nan=True)
+                continue
+            assert y is None if isinstance(x, float) and math.isnan(x) else y == (pytest.approx(x, abs=1e-9) if name != "flags" else x), (key, name)
+        assert (got[key]["sig_t"] is None) == ("sig_t" not in r)
+    from kinetra.plans import registry
+
+    bursts = recognition.windows(registry._bursts(spark, small)).drop("flags")
+    fused = registry.QUERIES["burst_windows"](spark, small)
+    assert fused.schema == bursts.schema and fused.exceptAll(bursts).isEmpty() and fused.count() == bursts.count() > 0
