@@ -1,20 +1,30 @@
 """Segmentation: windows with class distributions become contiguous, non-overlapping segments.
 
-Runs of usable windows (``intervals.runs``) are decoded one by one, grouped by user and run, so no task holds
-a user's whole history.  The lattice needs order, hence a grouped Arrow function; all else is declarative.
+Runs of usable windows (``intervals.runs``) are sorted by user and run and decoded as they pass, those of equal
+length in a batch together, so no task holds a user's whole history.  The lattice needs order, hence an Arrow
+function over sorted rows; all else is declarative.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from kinetra import constants as K
 from kinetra.functions import kernels as N
 from kinetra.operators import intervals, metrics
 
+#: Runs of equal length that are decoded together.
+RUNS = 512
+
 SEGMENT_DDL = (
     "segment_id string, uuid string, t_start double, t_end double, label string, confidence double, coverage_s double, "
     "label_minutes_covered int, n_windows int, mean_probs array<double>, flags array<string>"
@@ -33,17 +43,18 @@ def transition_arrays(model: DataFrame) -> tuple[np.ndarray, list[str]]:
     return p, source
 
 
-def emit(run: pd.DataFrame, path: np.ndarray, sources: list[str], hop: float, signals: dict[int, tuple[np.ndarray, np.ndarray]] | None, radius_s: float = K.CUSUM_RADIUS_S) -> pd.DataFrame:
-    """Stretches of equal state share their (snapped, increasing) edges and tile the run."""
-    n = len(run)
-    cuts = [0, *(np.flatnonzero(path[1:] != path[:-1]) + 1).tolist(), n]
-    ts, start, end = run["timestamp"].to_numpy(), run["t_start_s"].to_numpy(), run["t_end_s"].to_numpy()
-    lo, hi = float(ts[0] + start[0]), float(ts[-1] + end[-1])
+def emit(run: dict, lo_row: int, hi_row: int, path: np.ndarray, sources: list[str], hop: float, snap: bool, radius_s: float = K.CUSUM_RADIUS_S) -> list[tuple]:
+    """Stretches of equal state of the rows ``lo_row`` to ``hi_row`` share their (snapped, increasing)
+    edges and tile the run."""
+    cuts = [lo_row, *(np.flatnonzero(path[1:] != path[:-1]) + 1 + lo_row).tolist(), hi_row]
+    ts, start, end = run["timestamp"], run["t_start_s"], run["t_end_s"]
+    lo, hi = float(ts[lo_row] + start[lo_row]), float(ts[hi_row - 1] + end[hi_row - 1])
     edges, at_limit, floor = [lo], [False], lo
+    signals = {int(ts[i]): i for i in np.flatnonzero(run["signal"][lo_row:hi_row]) + lo_row} if snap and len(cuts) > 2 else {}
     for c in cuts[1:-1]:
         e, hit = float(ts[c] + start[c]), False
-        if signals is not None and int(ts[c]) in signals:
-            t, body = signals[int(ts[c])]
+        if int(ts[c]) in signals:
+            t, body = (np.asarray(run[name][signals[int(ts[c])]].values) for name in ("sig_t", "sig_body"))
             idx, hit = N.cusum_snap(body, int(round(start[c] * K.TARGET_HZ)), int(round(radius_s * K.TARGET_HZ)))
             e = float(ts[c] + t[min(max(idx, 0), len(t) - 1)])
         floor = min(max(e, floor + 1e-6), hi - 1e-6)
@@ -55,22 +66,44 @@ def emit(run: pd.DataFrame, path: np.ndarray, sources: list[str], hop: float, si
     out = []
     for i in range(len(cuts) - 1):
         a, b = cuts[i], cuts[i + 1]
-        probs = np.stack(run["probs"].iloc[a:b])
-        h = -(probs * np.log(np.maximum(probs, 1e-300))).sum(axis=1) / np.log(probs.shape[1])
-        label, span = K.CLASSES[int(path[a])], edges[i + 1] - edges[i]
-        names = {f for fs in run["flags"].iloc[a:b] for f in fs}
-        flags = {"partial_coverage"} if "partial" in names else set()
-        if sources[int(path[a])] != "counts":
+        state = int(path[a - lo_row])
+        label, span = K.CLASSES[state], edges[i + 1] - edges[i]
+        flags = {"partial_coverage"} if run["partial"][a:b].any() else set()
+        if sources[state] != "counts":
             flags.add("prior_transitions_used")
         if b - a < least:
             flags.add("truncated_by_coverage")
-        if signals is None:
+        if not snap:
             flags.add("no_cusum_refinement")
         elif at_limit[i] or at_limit[i + 1]:
             flags.add("cusum_hit_search_limit")
-        uuid = run["uuid"].iloc[a]
-        out.append((f"{uuid}:{int(edges[i])}:{label.replace(' ', '_')}", uuid, edges[i], edges[i + 1], label, float((1 - h).mean()), float(min(run["valid_fraction"].iloc[a:b].mean() * span, span)), len(set(ts[a:b].tolist())), b - a, probs.mean(axis=0).tolist(), sorted(flags)))
-    return pd.DataFrame(out, columns=[c.split()[0] for c in SEGMENT_DDL.split(", ")])
+        uuid = run["uuid"][a].as_py()
+        out.append((f"{uuid}:{int(edges[i])}:{label.replace(' ', '_')}", uuid, edges[i], edges[i + 1], label, float(run["certainty"][a:b].mean()), float(min(run["valid_fraction"][a:b].mean() * span, span)), len(set(ts[a:b].tolist())), b - a, run["probs"][a:b].mean(axis=0).tolist(), sorted(flags)))
+    return out
+
+
+def whole_runs(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole runs with the bounds of each, from sorted batches that may cut runs anywhere."""
+    held, last = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        uuid, run = batch.column("uuid"), batch.column("run_id").to_numpy()
+        new = np.concatenate(([False], run[1:] != run[:-1]))
+        new[1:] |= ~pc.fill_null(pc.equal(uuid.slice(1), uuid.slice(0, len(uuid) - 1)), False).to_numpy(zero_copy_only=False) & ~(pc.and_(pc.is_null(uuid.slice(1)), pc.is_null(uuid.slice(0, len(uuid) - 1)))).to_numpy(zero_copy_only=False)
+        new[0] = (uuid[0].as_py(), run[0]) != last
+        if len(starts := np.flatnonzero(new)):
+            if done := [*held, *([batch.slice(0, starts[-1])] if starts[-1] else [])]:
+                table = pa.Table.from_batches(done).combine_chunks()
+                before = sum(b.num_rows for b in held)
+                yield table, np.unique([0, *(before + starts).tolist()])
+            held = [batch.slice(starts[-1])]
+        else:
+            held.append(batch)
+        last = (uuid[-1].as_py(), run[-1])
+    if held:
+        table = pa.Table.from_batches(held).combine_chunks()
+        yield table, np.array([0, table.num_rows])
 
 
 def segment_windows(windows: DataFrame, model: DataFrame, *, temperature: float = 1.0, max_join_gap: float = 0.0, hop: float = 1.0, min_duration: float = K.MIN_ACTIVITY_S, time_aware: bool = True) -> DataFrame:
@@ -89,27 +122,45 @@ def segment_windows(windows: DataFrame, model: DataFrame, *, temperature: float
     snap = "sig_t" in windows.columns
     cols = ["uuid", "run_id", "timestamp", "t_start_s", "t_end_s", "abs_start", "probs", "valid_fraction", "flags", *(["sig_t", "sig_body"] if snap else [])]
 
-    def decode(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["abs_start", "timestamp"], ignore_index=True)
-        pdf["probs"] = [np.asarray(x, dtype=float) for x in pdf["probs"]]
-        logs = np.log(np.maximum(np.stack(pdf["probs"]), 1e-12)) / temperature
-        top = logs.max(axis=1, keepdims=True)
-        logs = logs - top - np.log(np.exp(logs - top).sum(axis=1, keepdims=True))
-        steps = None
-        if q is not None and len(pdf) > 1:
-            held: dict[float, np.ndarray] = {}
-            steps = []
-            for dt in np.round(np.maximum(np.diff(pdf["abs_start"].to_numpy()), hop), 6):
-                if dt not in held:
-                    held[dt] = np.log(N.transition_for(q, float(dt)))
-                steps.append(held[dt])
-        path = N.viterbi_min_run(logs, log_p, k, log_a_steps=steps)
-        table = None
-        if snap:
-            table = {int(t): (np.asarray(a), np.asarray(b)) for t, a, b in zip(pdf["timestamp"], pdf["sig_t"], pdf["sig_body"]) if a is not None and len(a)}
-        return emit(pdf, path, sources, hop, table)
-
-    return runs.select(*cols).groupBy("uuid", "run_id").applyInPandas(decode, SEGMENT_DDL)
+    ddl = StructType.fromDDL(SEGMENT_DDL)
+    schema = to_arrow_schema(ddl)
+
+    def paths(logs: np.ndarray, starts: np.ndarray, known: dict[float, np.ndarray]) -> np.ndarray:
+        """Best paths of runs of equal length, ``(runs, n, classes)`` with their starts ``(runs, n)``."""
+        if q is None:
+            return N.viterbi_bulk(logs, log_p[None], k, np.zeros((len(logs), logs.shape[1] - 1), int))
+        dts, which = np.unique(np.round(np.maximum(np.diff(starts, axis=1), hop), 6), return_inverse=True)
+        if len(known) > 4096:
+            known.clear()
+        for dt in set(dts.tolist()) - known.keys():
+            known[dt] = np.log(N.transition_for(q, dt))
+        matrices = np.stack([known[dt] for dt in dts.tolist()]) if len(dts) else log_p[None]
+        return N.viterbi_bulk(logs, matrices, k, which.reshape(len(logs), -1))
+
+    def decode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[float, np.ndarray] = {}
+        for table, edges in whole_runs(batches):
+            run = {c: table.column(c).chunk(0) for c in table.column_names}
+            run |= {c: run[c].to_numpy(zero_copy_only=False) for c in ("timestamp", "t_start_s", "t_end_s", "abs_start", "valid_fraction", "partial")}
+            probs = run["probs"] = run["probs"].flatten().to_numpy(zero_copy_only=False).astype(float).reshape(table.num_rows, -1)
+            run["certainty"] = 1 + (probs * np.log(np.maximum(probs, 1e-300))).sum(axis=1) / np.log(probs.shape[1])
+            if snap:
+                run["signal"] = pc.fill_null(pc.greater(pc.list_value_length(run["sig_t"]), 0), False).to_numpy(zero_copy_only=False)
+            logs = np.log(np.maximum(probs, 1e-12)) / temperature
+            top = logs.max(axis=1, keepdims=True)
+            logs = logs - top - np.log(np.exp(logs - top).sum(axis=1, keepdims=True))
+            lengths, path = np.diff(edges), np.empty(table.num_rows, dtype=int)
+            for n in np.unique(lengths).tolist():
+                alike = edges[:-1][lengths == n]
+                for at in range(0, len(alike), RUNS):
+                    rows = alike[at : at + RUNS, None] + np.arange(n)[None, :]
+                    path[rows] = paths(logs[rows], run["abs_start"][rows], known)
+            out = [row for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()) for row in emit(run, lo, hi, path[lo:hi], sources, hop, snap)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+
+    # the last window in ``runs`` has brought all rows of a user into one partition, so sorting them is enough
+    sorted_ = runs.select(*cols, F.array_contains("flags", "partial").alias("partial")).drop("flags").sortWithinPartitions("uuid", "run_id", "abs_start", "timestamp")
+    return sorted_.mapInArrow(decode, ddl)
 
 
 def derived(segments: DataFrame) -> DataFrame:

@@ -396,3 +396,23 @@ def test_windows_of_whole_bursts_equal_single_ones(spark, small):
     bursts = recognition.windows(registry._bursts(spark, small)).drop("flags")
     fused = registry.QUERIES["burst_windows"](spark, small)
     assert fused.schema == bursts.schema and fused.exceptAll(bursts).isEmpty() and fused.count() == bursts.count() > 0
+
+
+def test_runs_decoded_together_equal_single_ones(spark):
+    """Runs of many lengths cut anywhere between batches, against the lattice of one run."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    for n in (1, 2, 5, 9, 40):
+        e, a = np.log(rng.dirichlet(np.ones(7), (30, n))), np.log(rng.dirichlet(np.ones(7), (3, 7)))
+        steps = rng.integers(0, 3, (30, n - 1))
+        for k in (1, 3, 5):
+            got = N.viterbi_bulk(e, a, k, steps)
+            assert all((got[i] == N.viterbi_min_run(e[i], a[0], k, log_a_steps=[a[j] for j in steps[i]])).all() for i in range(30))
+    keys = [(u, r) for u in (None, "a", "b") for r in (1, 2, 3) for _ in range(1 + 3 * r)]
+    table = pa.table({"uuid": [u for u, _ in keys], "run_id": [r for _, r in keys], "i": range(len(keys))})
+    for size in (1, 2, 5, 100):
+        parts = [(t, edges) for t, edges in decode.whole_runs(table.to_batches(max_chunksize=size))]
+        runs_ = [t.slice(lo, hi - lo).to_pylist() for t, edges in parts for lo, hi in zip(edges, edges[1:])]
+        assert [r["i"] for run in runs_ for r in run] == list(range(len(keys))) and len(runs_) == 9
+        assert all(len({(r["uuid"], r["run_id"]) for r in run}) == 1 for run in runs_)
