@@ -136,28 +136,33 @@ def _regions(reps: DataFrame, longer: Callable[[DataFrame], DataFrame], counts:
     Signatures in ``reps`` reach as far as the first orders; ``longer`` gives those of a table of ids whole.
     """
 
-    def keyed(rows: DataFrame, d: int) -> DataFrame:
+    def keyed(rows: DataFrame, first: int, last: int) -> DataFrame:
+        """``(id, tree, key)`` for the orders from ``first`` to before ``last``."""
         key = F.substring("sig", F.col("tree") * (2 * depth) + 1, F.lit(2 * depth))
-        return rows.select("id", "tree", key.alias("key")).withColumn("region", F.xxhash64("tree", F.substring("key", 1, 2 * d)))
+        return rows.select("id", "sig", F.explode(F.sequence(F.lit(first), F.lit(last - 1))).alias("tree")).select("id", "tree", key.alias("key"))
+
+    def dealt(rows: DataFrame, d: int) -> DataFrame:
+        return rows.withColumn("region", F.xxhash64("tree", F.substring("key", 1, 2 * d)))
 
     def shared(rows: DataFrame) -> DataFrame:
         sizes = rows.groupBy("region").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
         return cut(rows.join(sizes, "region").select("region", "size", "id", "tree", "key"))
 
-    now = shared(keyed(reps.select("id", "sig", F.explode(F.sequence(F.lit(0), F.lit(counts[0] - 1))).alias("tree")), base))
+    parts = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    now = shared(dealt(keyed(reps, 0, counts[0]), base))
     done, pending, d = now.where(F.col("size") <= region_rows), now.where(F.col("size") > region_rows), base
     while d < depth and not pending.isEmpty():
         if d == base:
             deep = cut(longer(cut(pending.select("id").distinct())))
         d += 1
         old, now_trees = counts[d - 1 - base], counts[d - base]
-        trees = pending.select("id", "tree")
+        rows = pending.select("id", "tree", "key")  # the keys of orders entered before are whole already
         if now_trees > old:
-            trees = trees.union(pending.select("id").distinct().select("id", F.explode(F.sequence(F.lit(old), F.lit(now_trees - 1))).alias("tree")))
-        now = shared(keyed(trees.join(deep, "id"), d))
+            rows = rows.union(keyed(pending.select("id").distinct().join(deep, "id"), old, now_trees))
+        now = shared(dealt(rows.coalesce(parts), d))
         done = done.union(now if d == depth else now.where(F.col("size") <= region_rows))
         pending = now.where(F.col("size") > region_rows)
-    done = done.coalesce(int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # the levels' parts add up
+    done = done.coalesce(parts)  # the levels' parts add up
     blocks = F.ceil(F.col("size") / F.lit(float(region_rows))).cast("int")
     return done.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id", "tree"), F.col("blocks")).cast("int"))
 

@@ -447,3 +447,31 @@ def test_toxicity(spark, none):
     blank = toxicity.fit(docs, labels.where("toxic = 0"), F.lit(True))
     assert (toxicity.score(docs, blank, ["doc_id"]).toPandas()["score"] < 1e-6).all()
     assert toxicity.score(none, model, ["doc_id"]).count() == 0
+
+
+def test_split_regions_keep_the_keys_of_their_first_orders(spark):
+    """Regions against plain loops; signatures looked up for split regions are read for further orders only."""
+    rng, base, depth, counts, most = np.random.default_rng(4), 1, 3, [2, 3, 5], 8
+    sig = rng.integers(0, 3, (70, counts[-1] * depth)).astype(np.uint16)
+    cells = lambda x: [(i, v.tobytes()) for i, v in enumerate(x)]
+    reps = spark.createDataFrame(cells(sig[:, : counts[0] * depth]), "id long, sig binary")
+    blank = sig.copy()
+    blank[:, : counts[0] * depth] = 9
+    asked = []
+
+    def longer(ids):
+        asked.append(ids)
+        return spark.createDataFrame(cells(blank), "id long, sig binary").join(ids, "id", "left_semi").select("id", "sig")
+
+    got = {(r["id"], r["tree"], bytes(r["key"]), r["size"]) for r in minhash._regions(reps, longer, counts, depth, base, most).collect()}
+    want, rows = set(), {(i, t) for i in range(70) for t in range(counts[0])}
+    for d in range(base, depth + 1):
+        regions = {}
+        for i, t in rows:
+            regions.setdefault((t, *sig[i, t * depth : t * depth + d]), []).append(i)
+        held = {k: v for k, v in regions.items() if len(v) > 1}
+        large = {k: v for k, v in held.items() if len(v) > most and d < depth}
+        want |= {(i, k[0], sig[i, k[0] * depth : (k[0] + 1) * depth].tobytes(), len(v)) for k, v in held.items() if k not in large for i in v}
+        rows = {(i, k[0]) for k, v in large.items() for i in v}
+        rows |= {(i, t) for i in {i for i, _ in rows} for t in range(counts[d - base], counts[min(d + 1, depth) - base])}
+    assert got == want and len(asked) == 1
